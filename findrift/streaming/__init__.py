@@ -1,0 +1 @@
+"""Structured Streaming entry points around the batch plans."""
