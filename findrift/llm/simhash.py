@@ -16,11 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, hex64
+from .common import checkpoint, hex64, spread
 from .graph import components
 
 BITS, SEGMENTS = 64, 4
@@ -61,7 +61,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def links(distinct: DataFrame, max_distance: int = 2, segments: int = SEGMENTS) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column fp), enough to connect all within ``max_distance``.
 
-    Every key's members meet their least one, which the key's ball puts within 2 bits.
+    A key's members, in order, link to the one before: its ball puts any two of them within 2 bits.
+    The keys go over all partitions before they are made, since the distinct fingerprints are few
+    bytes and would fill few tasks; a window streams each bucket, so nothing is collected.
     """
     if max_distance not in (0, 1, 2) or BITS % segments:
         raise ValueError("max_distance is 0, 1 or 2; segments divide 64")
@@ -71,13 +73,15 @@ def links(distinct: DataFrame, max_distance: int = 2, segments: int = SEGMENTS)
     balls = [[bit for bit in range(s * width, (s + 1) * width)] for s in range(segments)]
     masks = [0, *[1 << bit for ball in balls for bit in ball]]
     mask = F.explode(F.array(*[F.lit(m - (m >> 63 << 64)).cast("long") for m in masks]))
-    keys = distinct.select("fp", mask.alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
-    met = keys.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    spread_out = distinct.repartition(spread(distinct), "fp")
+    keys = spread_out.select("fp", mask.alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
+    bucket = Window.partitionBy("key").orderBy("fp")
     if max_distance == 2:
-        pairs = met.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u <> v")
+        pairs = keys.select(F.lag("fp").over(bucket).alias("u"), F.col("fp").alias("v")).where("u is not null")
     else:
         # One bit apart: the key is one of the two.
-        pairs = met.where(F.array_contains("fps", F.col("key"))).select(F.col("key").alias("u"), F.explode("fps").alias("v")).where("u <> v")
+        there = F.max(F.when(F.col("fp") == F.col("key"), F.col("key"))).over(Window.partitionBy("key"))
+        pairs = keys.select(there.alias("u"), F.col("fp").alias("v")).where("u is not null and u <> v")
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_distance)
 
 
