@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -153,78 +153,88 @@ def _diagnostic(code: str, severity: str, message: str, when: Column) -> Column:
     return F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(message).alias("message")))
 
 
-def canonical_path(
-    original: Column,
-    resolved: Column | None = None,
+def canonicalise(
+    df: DataFrame,
+    original: str,
+    resolved: str | None = None,
+    out: str = "canonical",
     *,
     root: str | None = None,
     rebases: Sequence[tuple[str, str]] = (),
     fold: bool = False,
-) -> Column:
-    """The canonical path as a struct: original, resolved, canonical_uri, repo_relative, kind, transformations, diagnostics.
+) -> DataFrame:
+    """``df`` with the canonical form of the path column ``original`` as a struct column ``out``.
 
-    The steps: configured rebase, safe percent decoding, repository-relative or external form,
-    separators, segments, optional ASCII case folding.  Null in, null out.
+    Fields: original, resolved, canonical_uri, repo_relative, kind, transformations, diagnostics.  The
+    steps: configured rebase, safe percent decoding, repository-relative or external form, separators,
+    segments, optional ASCII case folding.  Each step is a column of its own, so the plan stays as
+    small as the steps are.  A null path gives null.
     """
-    logical = F.coalesce(resolved, original) if resolved is not None else original
-    rebased = rebase_longest(logical, rebases)
-    decoded = decode_if_needed(rebased)
-    kind, logical_kind = path_kind(original), path_kind(decoded)
+    pre, n = f"_{out}_", [0]
 
-    repo_scheme = decoded.rlike("^(?i:repo:/)")
+    def put(value: Column) -> Column:
+        nonlocal df
+        n[0] += 1
+        df = df.withColumn(f"{pre}{n[0]}", value)
+        return F.col(f"{pre}{n[0]}")
+
+    source = F.col(original)
+    logical = put(F.coalesce(F.col(resolved), source) if resolved else source)
+    rebased = put(rebase_longest(logical, rebases))
+    decoded = put(decode_if_needed(rebased))
+    kind, logical_kind = put(path_kind(source)), put(path_kind(decoded))
+
+    repo_scheme = put(decoded.rlike("^(?i:repo:/)"))
     bare = F.regexp_replace(F.substring(decoded, F.lit(7), F.length(decoded)), r"^[/\\]+", "")
     relative = logical_kind == "RepositoryRelative"
-    comparable = file_location(decoded)
-    inside = F.lit(False)
-    below = F.lit(None).cast("string")
+    inside, below = F.lit(False), F.lit(None).cast("string")
     if root is not None and root.strip():
         plain = "." if root == "." else re.sub("/+$", "", _file_location(root))
+        comparable = put(file_location(decoded))
         seen, top = (ascii_lower(comparable), plain.translate(_FOLD)) if fold else (comparable, plain)
         same = trim_end(seen) == top
         inside = same | F.startswith(seen, F.lit(top + "/"))
         below = F.when(same, "").otherwise(F.substring(seen, F.lit(len(top) + 2), F.length(seen)))
-    in_repo = repo_scheme | relative | inside
-    start = F.when(repo_scheme, bare).when(relative, decoded).otherwise(below)
+    in_repo = put(F.coalesce(repo_scheme | relative | inside, F.lit(False)))
+    start = put(F.when(repo_scheme, bare).when(relative, decoded).otherwise(below))
 
-    flat = F.regexp_replace(slashes(start), "^/+", "")
-    done = collapse_segments(flat)
+    flat = put(F.regexp_replace(slashes(start), "^/+", ""))
+    done = put(collapse_segments(flat))
     ok = done["ok"]
-    folded = ascii_lower(done["path"]) if fold else done["path"]
-    repo_uri = F.when(ok, F.concat(F.lit("repo://"), folded)).otherwise(F.concat(F.lit("unresolved://repository/"), F.regexp_replace(flat, "^/+", "")))
+    folded = put(ascii_lower(done["path"]) if fold else done["path"])
+    repo_uri = F.when(ok, F.concat(F.lit("repo://"), folded)).otherwise(F.concat(F.lit("unresolved://repository/"), flat))
 
-    blank = decoded.rlike(r"^\s*$")
-    normal = slashes(decoded)
+    blank = put(decoded.rlike(r"^\s*$"))
+    normal = put(slashes(decoded))
     stripped = (
         F.when(logical_kind == "Unc", F.regexp_replace(normal, "^/+", ""))
-        .when(logical_kind == "DeviceUnc", F.regexp_replace(normal, "^(?i://\\?/UNC/)", ""))
+        .when(logical_kind == "DeviceUnc", F.regexp_replace(normal, r"^(?i://\?/UNC/)", ""))
         .when(logical_kind == "Device", F.regexp_replace(normal, r"^//\?/", ""))
         .otherwise(normal)
     )
-    location = file_location(normal)
+    location = put(file_location(normal))
+    drive = put(location.rlike("^[A-Za-z]:"))
     file_body = (
-        F.when(location.rlike("^[A-Za-z]:"), location)
+        F.when(drive, location)
         .when(F.startswith(location, F.lit("//")), F.regexp_replace(location, "^/+", ""))
         .when(F.startswith(location, F.lit("/")), location)
         .otherwise(F.concat(F.lit("/"), location))
     )
-    body = F.when(logical_kind == "FileUri", file_body).otherwise(stripped)
-    tidy = absolute_segments(body)
-    file_uri = F.concat(F.when(location.rlike("^[A-Za-z]:"), "file:///").otherwise("file://"), tidy)
-    tidied = logical_kind.isin("DriveAbsolute", "RootRelative", "Unc", "DeviceUnc", "Device", "PosixAbsolute", "FileUri")
+    body = put(F.when(logical_kind == "FileUri", file_body).otherwise(stripped))
+    tidy = put(absolute_segments(body))
+    file_uri = put(F.concat(F.when(drive, "file:///").otherwise("file://"), tidy))
+    prefixes = {"DriveAbsolute": "win-drive://", "RootRelative": "win-root://", "Unc": "unc://", "DeviceUnc": "win-device-unc://", "Device": "win-device://", "PosixAbsolute": "file://"}
+    external = F.when(blank, "unresolved://empty")
+    for name, prefix in prefixes.items():
+        external = external.when(logical_kind == name, F.concat(F.lit(prefix), tidy))
     external = (
-        F.when(blank, "unresolved://empty")
-        .when(logical_kind == "DriveAbsolute", F.concat(F.lit("win-drive://"), tidy))
-        .when(logical_kind == "DriveRelative", F.concat(F.lit("win-drive-relative://"), normal))
-        .when(logical_kind == "RootRelative", F.concat(F.lit("win-root://"), tidy))
-        .when(logical_kind == "Unc", F.concat(F.lit("unc://"), tidy))
-        .when(logical_kind == "DeviceUnc", F.concat(F.lit("win-device-unc://"), tidy))
-        .when(logical_kind == "Device", F.concat(F.lit("win-device://"), tidy))
-        .when(logical_kind == "PosixAbsolute", F.concat(F.lit("file://"), tidy))
+        external.when(logical_kind == "DriveRelative", F.concat(F.lit("win-drive-relative://"), normal))
         .when(logical_kind == "FileUri", file_uri)
         .when(logical_kind == "ExternalUri", normal)
         .otherwise("unresolved://empty")
     )
     outside = ~in_repo & ~blank
+    tidied = logical_kind.isin("FileUri", *prefixes)
     transforms = keep(
         _change("configured-path-rebase", logical, rebased, False),
         _change("safe-percent-decode", rebased, decoded, True),
@@ -236,22 +246,17 @@ def canonical_path(
     )
     windows = kind.isin("DriveAbsolute", "DriveRelative", "RootRelative", "Unc", "Device", "DeviceUnc", "FileUri")
     notes = keep(
-        _diagnostic("CANON0005", "warning", "A path holds a null character and is kept as text.", F.contains(original, F.lit("\0"))),
-        _diagnostic("CANON0004", "warning", "A path holds a reserved Windows name and is kept as it is.", windows & reserved_name(original)),
+        _diagnostic("CANON0005", "warning", "A path holds a null character and is kept as text.", F.contains(source, F.lit("\0"))),
+        _diagnostic("CANON0004", "warning", "A path holds a reserved Windows name and is kept as it is.", windows & reserved_name(source)),
         _diagnostic("CANON0001", "error", "A path climbs above the repository root.", in_repo & ~ok),
         _diagnostic("CANON0002", "warning", "A path names the repository root, not an artifact.", in_repo & ok & (folded == "")),
         _diagnostic("CANON0003", "error", "An artifact location is empty.", ~in_repo & blank),
     )
     made = F.struct(
-        original.alias("original"),
-        F.when(in_repo, F.when(repo_scheme | relative | inside, decoded)).otherwise(decoded).alias("resolved"),
-        F.when(in_repo, repo_uri).otherwise(external).alias("canonical_uri"),
-        F.when(in_repo & ok, folded).alias("repo_relative"),
-        kind.alias("kind"),
-        transforms.alias("transformations"),
-        notes.alias("diagnostics"),
-    )
-    return F.when(original.isNotNull(), made)
+        source.alias("original"), decoded.alias("resolved"), F.when(in_repo, repo_uri).otherwise(external).alias("canonical_uri"),
+        F.when(in_repo & ok, folded).alias("repo_relative"), kind.alias("kind"), transforms.alias("transformations"), notes.alias("diagnostics"),
+    )
+    return df.withColumn(out, F.when(source.isNotNull(), made)).drop(*[f"{pre}{i + 1}" for i in range(n[0])])
 
 
 _FOLD = {c: c + 32 for c in range(65, 91)}
