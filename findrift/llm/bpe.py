@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: (?U): white space as Unicode defines it, as the tokenizer's engine does.
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters that the JVM's Unicode tables don't know may be letters in newer ones.
@@ -86,16 +88,20 @@ class WordEncoder:
 
     def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.whole = Tokenizer.from_str(spec)
-        self.word = Tokenizer.from_str(spec)
-        for t in (self.whole, self.word):
-            t.no_truncation()
-            t.no_padding()
+        self.spec, self.whole = spec, None
+        self.word = self._made()
         self.word.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
 
+    def _made(self):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_str(self.spec)
+        t.no_truncation()
+        t.no_padding()
+        return t
+
     def words(self, words: list[str], step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after another, where each word's ids start; one more at the end)."""
         ids, counts = [], []
@@ -107,6 +113,7 @@ class WordEncoder:
         return np.array(ids, np.int32), np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
 
     def text(self, text: str) -> list[int]:
+        self.whole = self.whole or self._made()
         return self.whole.encode(text, add_special_tokens=False).ids
 
 
@@ -114,7 +121,8 @@ def _gather(ids: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.nda
     """The ids of the words ``at``, in order, and the running count before each word."""
     counts = np.diff(starts)[at]
     ends = np.concatenate([[0], np.cumsum(counts)])
-    index = np.arange(ends[-1]) + np.repeat(starts[:-1][at] - ends[:-1], counts)
+    index = np.repeat((starts[:-1][at] - ends[:-1]).astype(np.int32), counts)
+    index += np.arange(ends[-1], dtype=np.int32)
     return ids[index], ends
 
 
@@ -136,30 +144,34 @@ def _encode_batch(enc: WordEncoder, words: pa.ListArray, texts: pa.StringArray)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out, pa.int32()))
 
 
-def encode(df: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(
+    df: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text", ids_col: str = "ids", digests: bool = False, with_ids: bool = True
+) -> DataFrame:
     """Token ids of every whole text: the columns ``keep`` and ``ids_col`` (array<int>).
 
     Special tokens' strings become their ids; none is added, and nothing is cut or padded.  A null or
     empty text has no ids; one output row per input row, repeated rows included; columns outside
-    ``keep`` are ignored, and ``keep`` may not name ``ids_col``.
+    ``keep`` are ignored, and ``keep`` may not name an output.  ``digests`` adds what ``digest`` adds, made
+    by the same worker; ``with_ids`` false leaves the ids themselves out.
     """
-    if ids_col in keep:
-        raise ValueError(f"{ids_col} is also kept")
+    outputs = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] * with_ids + DIGESTS * digests
+    if {f.name for f in outputs} & set(keep):
+        raise ValueError("an output column is also kept")
     spec = load(path)
     shared = df.sparkSession.sparkContext.broadcast(spec)
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = WordEncoder(shared.value)
-        for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                part = b.slice(lo, 4096)
-                ids = _encode_batch(enc, part.column(n), part.column(n + 1))
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], ids], names=[*keep, ids_col])
+        shown = _Digests(shared.value) if digests else None
+        for part in slices(batches, 1024):
+            ids = _encode_batch(enc, part.column(n), part.column(n + 1))
+            more = [ids] * with_ids + (shown.of(ids) if shown else [])
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], *more], names=[*keep, *[f.name for f in outputs]])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = split_words(text, specials_of(spec))
-    schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in keep], T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in keep], *outputs])
     inner = df.select(*keep, words.alias("_words"), F.when(text.rlike(UNKNOWN), text).alias("_text"))
     return inner.mapInArrow(run, schema)
 
@@ -177,10 +189,21 @@ def _per_row(ids: pa.ListArray, table: pa.LargeBinaryArray) -> list[memoryview]:
     return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo in range(0, b.num_rows, 4096):
-            yield b.slice(lo, 4096)
+DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+
+
+class _Digests:
+    """Digests of ids and of the texts that they decode to, by gathers from two tables that the vocabulary bounds."""
+
+    def __init__(self, spec: str) -> None:
+        self.table = pieces(spec)
+        self.decimal = pa.array([b"%d," % i for i in range(len(self.table))], pa.large_binary())
+
+    def of(self, ids: pa.ListArray) -> list[pa.Array]:
+        counts = pc.fill_null(pc.list_value_length(ids), 0).cast(pa.int64())
+        shown = [hashlib.sha256(x[:-1] if len(x) else x).hexdigest() for x in _per_row(ids, self.decimal)]
+        texts = [hashlib.sha256(str(x, "utf-8", "replace").encode()).hexdigest() for x in _per_row(ids, self.table)]
+        return [counts, pa.array(shown, pa.string()), pa.array(texts, pa.string())]
 
 
 def decode(df: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -193,7 +216,7 @@ def decode(df: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), ids_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(shared.value)
-        for b in _sliced(batches):
+        for b in slices(batches, 1024):
             texts = pa.array([bytes(x).decode("utf-8", "replace") for x in _per_row(b.column(n), table)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:n], texts], names=[*keep, text_col])
 
@@ -205,20 +228,11 @@ def digest(df: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), ids_col:
     """``keep``, n_tokens, ids_sha256 and, decoded through the id-to-piece table, decoded_sha256."""
     shared = df.sparkSession.sparkContext.broadcast(load(path))
     n = len(keep)
-    names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(shared.value)
-        decimal = pa.array([b"%d," % i for i in range(len(table))], pa.large_binary())
-        for b in _sliced(batches):
-            ids = b.column(n)
-            counts = pc.fill_null(pc.list_value_length(ids), 0).cast(pa.int64())
-            shown = [hashlib.sha256(x[:-1] if len(x) else x).hexdigest() for x in _per_row(ids, decimal)]
-            texts = [hashlib.sha256(str(x, "utf-8", "replace").encode()).hexdigest() for x in _per_row(ids, table)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], counts, pa.array(shown, pa.string()), pa.array(texts, pa.string())], names=names)
-
-    schema = T.StructType(
-        [*[T.StructField(c, df.schema[c].dataType) for c in keep], T.StructField("n_tokens", T.LongType()),
-         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    )
+        shown = _Digests(shared.value)
+        for b in slices(batches, 1024):
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *shown.of(b.column(n))], names=[*keep, *[f.name for f in DIGESTS]])
+
+    schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in keep], *DIGESTS])
     return df.select(*keep, ids_col).mapInArrow(run, schema)

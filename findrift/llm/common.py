@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,12 @@ def spread(df: DataFrame, minimum: int = 1) -> int:
 def hex64(c: Column) -> Column:
     """A long as 16 lowercase hex digits of its unsigned value."""
     return F.lower(F.lpad(F.hex(c), 16, "0"))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of a few rows, so that a worker's own arrays stay small; freed memory goes back at once."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+        del b
+        pa.default_memory_pool().release_unused()

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slices
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -214,12 +216,10 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep
     n = len(keep) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                texts = [main_text(h.as_py()) for h in part.column(n)]
-                out = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], *out], names=names)
+        for part in slices(batches, 512):
+            texts = [main_text(h.as_py()) for h in part.column(n)]
+            out = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], *out], names=names)
 
     schema = T.StructType(
         [*[T.StructField(c, df.schema[c].dataType) for c in (id_col, *keep)], T.StructField("text", T.StringType()),

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 DIMS = 4096
 #: Labelled rows that are fitted, over all languages; each gives its whole text and a short piece of it.
 SAMPLE_ROWS = 1000
@@ -197,29 +199,29 @@ def identify(
     ``keep`` names further columns to pass through, the text among them if wanted.
     """
     names = [id_col, *keep]
+    more = [] if text_col in names else [text_col]
+    at_text = [*names, *more].index(text_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                lang, score, unsure = [UNDETERMINED] * part.num_rows, np.zeros(part.num_rows), np.zeros(part.num_rows, bool)
-                if m:
-                    found = [(i, x) for i, t in enumerate(part.column(len(names))) if t.is_valid and (x := features(t.as_py())) is not None]
-                    if found:
-                        which, p, gap = m.predict(np.stack([x for _, x in found]))
-                        for (i, _), k in zip(found, which, strict=True):
-                            lang[i] = m.languages[k]
-                        at = [i for i, _ in found]
-                        score[at], unsure[at] = p, gap < margin
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score.astype(float), pa.float64()), pa.array(unsure, pa.bool_())],
-                    names=[*names, "lang_pred", "score", "ambiguous"],
-                )
+        for part in slices(batches, 512):
+            lang, score, unsure = [UNDETERMINED] * part.num_rows, np.zeros(part.num_rows), np.zeros(part.num_rows, bool)
+            if m:
+                found = [(i, x) for i, t in enumerate(part.column(at_text)) if t.is_valid and (x := features(t.as_py())) is not None]
+                if found:
+                    which, p, gap = m.predict(np.stack([x for _, x in found]))
+                    for (i, _), k in zip(found, which, strict=True):
+                        lang[i] = m.languages[k]
+                    at = [i for i, _ in found]
+                    score[at], unsure[at] = p, gap < margin
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score.astype(float), pa.float64()), pa.array(unsure, pa.bool_())],
+                names=[*names, "lang_pred", "score", "ambiguous"],
+            )
 
     schema = T.StructType(
         [*[T.StructField(c, df.schema[c].dataType) for c in names], T.StructField("lang_pred", T.StringType()),
          T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
     )
-    return df.select(*names, F.col(text_col).alias("_identified")).mapInArrow(run, schema)
+    return df.select(*names, *more).mapInArrow(run, schema)

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 MIN_WORDS = 50
 
 
@@ -78,18 +80,16 @@ def _windows_of(df: DataFrame, key: list[str], text_col: str, min_words: int) ->
     names = ["low", "window", "first", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                row, cols = [], ([], [], [], [])
-                for i, t in enumerate(part.column(n)):
-                    own = fingerprints(t.as_py() or "", min_words)
-                    row += [i] * len(own)
-                    for c, values in zip(cols, zip(*own, strict=True), strict=False):
-                        c.extend(values)
-                at = pa.array(row, pa.int32())
-                keys = [c.take(at) for c in part.columns[:n]]
-                yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*key, *names])
+        for part in slices(batches, 1024):
+            row, cols = [], ([], [], [], [])
+            for i, t in enumerate(part.column(n)):
+                own = fingerprints(t.as_py() or "", min_words)
+                row += [i] * len(own)
+                for c, values in zip(cols, zip(*own, strict=True), strict=False):
+                    c.extend(values)
+            at = pa.array(row, pa.int32())
+            keys = [c.take(at) for c in part.columns[:n]]
+            yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*key, *names])
 
     schema = T.StructType(
         [*[T.StructField(c, df.schema[c].dataType) for c in key], T.StructField("low", T.LongType()), T.StructField("window", T.LongType()),

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH, CHANNELS = 64, 3
 STRIDE = WIDTH * CHANNELS
@@ -160,20 +162,18 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                sizes, media, features = [], [], []
-                for t in part.column(1).cast(pa.binary()):
-                    data = t.as_py() or b""
-                    stored = write_png(pad(data))
-                    sizes.append(len(data))
-                    media.append(stored)
-                    features.append(cosine_hash(read_png(stored)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(features, pa.binary())],
-                    names=[id_col, "n_bytes", "media", "feature"],
-                )
+        for part in slices(batches, 256):
+            sizes, media, features = [], [], []
+            for t in part.column(1).cast(pa.binary()):
+                data = t.as_py() or b""
+                stored = write_png(pad(data))
+                sizes.append(len(data))
+                media.append(stored)
+                features.append(cosine_hash(read_png(stored)))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(features, pa.binary())],
+                names=[id_col, "n_bytes", "media", "feature"],
+            )
 
     return df.select(df[id_col].cast("long").alias(id_col), text_col).mapInArrow(run, MEDIA_SCHEMA.format(id=id_col))
 

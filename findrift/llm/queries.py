@@ -29,8 +29,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), digests=True, with_ids=False)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, hex64, spread
+from .common import checkpoint, hex64, slices, spread
 from .graph import components
 
 BITS, SEGMENTS = 64, 4
@@ -47,12 +47,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id_col`` and ``fingerprint`` (signed long) of every whole text; null or wordless texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                values = [fingerprint(t.as_py() or "", words_per_shingle) for t in part.column(1)]
-                signed = pa.array([v - (v >> 63 << 64) for v in values], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), signed], names=[id_col, "fingerprint"])
+        for part in slices(batches, 1024):
+            values = [fingerprint(t.as_py() or "", words_per_shingle) for t in part.column(1)]
+            signed = pa.array([v - (v >> 63 << 64) for v in values], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), signed], names=[id_col, "fingerprint"])
 
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("fingerprint", T.LongType())])
     return df.select(id_col, text_col).mapInArrow(run, schema)
@@ -73,7 +71,7 @@ def links(distinct: DataFrame, max_distance: int = 2, segments: int = SEGMENTS)
     balls = [[bit for bit in range(s * width, (s + 1) * width)] for s in range(segments)]
     masks = [0, *[1 << bit for ball in balls for bit in ball]]
     mask = F.explode(F.array(*[F.lit(m - (m >> 63 << 64)).cast("long") for m in masks]))
-    spread_out = distinct.repartition(spread(distinct), "fp")
+    spread_out = distinct.repartition(spread(distinct))
     keys = spread_out.select("fp", mask.alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
     bucket = Window.partitionBy("key").orderBy("fp")
     if max_distance == 2:
