@@ -126,22 +126,26 @@ def _gather(ids: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.nda
     return ids[index], ends
 
 
-def _encode_batch(enc: WordEncoder, words: pa.ListArray, texts: pa.StringArray) -> pa.ListArray:
-    """One list of ids per row."""
-    flat = words.flatten()
-    coded = pc.dictionary_encode(flat)
+def _encode_batch(enc: WordEncoder, words: pa.ListArray, texts: pa.StringArray, rows: int = 1024) -> Iterator[tuple[int, pa.ListArray]]:
+    """(first row, ids of each row) in slices of ``rows``; the words of the whole batch are one table."""
+    coded = pc.dictionary_encode(words.flatten())
     ids, starts = enc.words(coded.dictionary.to_pylist())
-    out, ends = _gather(ids, starts, coded.indices.to_numpy(zero_copy_only=False))
+    index = coded.indices.to_numpy(zero_copy_only=False)
     sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    offsets = ends[np.concatenate([[0], np.cumsum(sizes)])]
-    if words.null_count:
-        # Texts that the JVM could not split: rare, encoded whole and put in place.
-        rows = np.split(out, offsets[1:-1]) if len(sizes) else []
-        for i in np.flatnonzero(words.is_null().to_numpy(zero_copy_only=False)):
-            rows[i] = np.array(enc.text(texts[i].as_py() or ""), np.int32)
-        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        out = np.concatenate(rows)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out, pa.int32()))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    whole = words.is_null().to_numpy(zero_copy_only=False)
+    for lo in range(0, len(words), rows):
+        hi = min(lo + rows, len(words))
+        out, ends = _gather(ids, starts, index[bounds[lo] : bounds[hi]])
+        offsets = ends[bounds[lo : hi + 1] - bounds[lo]]
+        if whole[lo:hi].any():
+            # Texts that the JVM could not split: rare, encoded whole and put in place.
+            parts = np.split(out, offsets[1:-1])
+            for i in np.flatnonzero(whole[lo:hi]):
+                parts[i] = np.array(enc.text(texts[lo + int(i)].as_py() or ""), np.int32)
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in parts])])
+            out = np.concatenate(parts)
+        yield lo, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out, pa.int32()))
 
 
 def encode(
@@ -164,10 +168,13 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = WordEncoder(shared.value)
         shown = _Digests(shared.value) if digests else None
-        for part in slices(batches, 1024):
-            ids = _encode_batch(enc, part.column(n), part.column(n + 1))
-            more = [ids] * with_ids + (shown.of(ids) if shown else [])
-            yield pa.RecordBatch.from_arrays([*part.columns[:n], *more], names=[*keep, *[f.name for f in outputs]])
+        for b in batches:
+            for lo, ids in _encode_batch(enc, b.column(n), b.column(n + 1)):
+                more = [ids] * with_ids + (shown.of(ids) if shown else [])
+                own = b.slice(lo, len(ids)).columns[:n]
+                yield pa.RecordBatch.from_arrays([*own, *more], names=[*keep, *[f.name for f in outputs]])
+            del b
+            pa.default_memory_pool().release_unused()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = split_words(text, specials_of(spec))
