@@ -265,7 +265,7 @@ def percent_decode(spark, sf_dir):
 
 @query(None)
 def uri_encode(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", paths.uri_encode(F.substring("text", 1, 60)).alias("encoded"))
+    return _read(spark, sf_dir, "documents").select("doc_id", paths.uri_encode(F.col("text")).alias("encoded"))
 
 
 @F.pandas_udf(StringType())
