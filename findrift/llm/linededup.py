@@ -1,133 +1,179 @@
-"""Repeated passages: winnowed line fingerprints, positions joined to the first occurrence.
-
-A document is a sequence of lines (white space squeezed, blank lines skipped).  A *window* is the
-shortest run of lines from a given line on, or up to a given line, that holds ``min_words`` words.
-Every run of ``min_words`` or more words that two places share holds at least one whole window that
-both places cut in the same way, so windows are guaranteed fingerprints; a window's least line hash
-leads its key, so windows that share their minimum meet in the same partition.
-
-Joined positions: a window's later places meet its first place (a minimum, combined before the
-shuffle), never each other, so a passage in thousands of documents costs as many rows, not pairs.
-Matches extend both ways because windows start *and* end at every line: the union of the matched
-windows is the maximal repeated run.
+"""Repeated passages: winnowed word fingerprints, windows joined to the first occurrence.
+
+A document is a sequence of words, wherever its lines break.  Every run of ``min_words`` or more
+words that two places share is a row of shared *windows* of ``min_words`` words.  Winnowing finds
+where such windows can be: of the hashes of half-length word runs the least of each window is
+selected, so places that share a window share a selected hash.  Selected hashes that occur once are
+left out (a bitmap of the others goes to every task; a false hit costs rows, never results), and
+only windows around the rest are made and joined.
+
+Joined positions: a window's later places meet its first place, never each other, so a passage in
+thousands of documents costs as many rows, not pairs.  Windows start at every word, so the union of
+the matched windows is the maximal repeated run, extended both ways.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices
 
 MIN_WORDS = 50
+#: Bits of the map of repeated hashes.
+SLOTS = 1 << 26
+_WORD = re.compile(r"\S+")
 
 
-def line_units(text: str) -> list[tuple[int, int, int]]:
-    """(line number, signed hash, words) of each line that isn't blank."""
-    out = []
-    for i, line in enumerate(text.split("\n")):
-        words = line.split()
-        if words:
-            out.append((i, xxhash.xxh3_64_intdigest(" ".join(words)), len(words)))
-    return out
-
-
-def windows(units: list[tuple[int, int, int]], min_words: int) -> list[tuple[int, int]]:
-    """Distinct windows (first unit, last unit): the shortest from each unit on and up to each unit."""
-    out, n = set(), len(units)
-    hi, total = -1, 0
-    for lo in range(n):
-        while total < min_words and hi + 1 < n:
-            hi += 1
-            total += units[hi][2]
-        if total < min_words:
-            break
-        out.add((lo, hi))
-        total -= units[lo][2]
-    lo, total = n, 0
-    for hi in range(n - 1, -1, -1):
-        while total < min_words and lo > 0:
-            lo -= 1
-            total += units[lo][2]
-        if total < min_words:
-            break
-        out.add((lo, hi))
-        total -= units[hi][2]
-    return sorted(out)
-
-
-def fingerprints(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
-    """(minimum line hash, window hash, first line, last line) of each window; hashes signed."""
-    units = line_units(text)
-    out = []
-    for lo, hi in windows(units, min_words):
-        hashes = [u[1] for u in units[lo : hi + 1]]
-        key = xxhash.xxh3_64_intdigest(b"".join(h.to_bytes(8, "little") for h in hashes))
-        low = min(hashes)
-        out.append((low - (low >> 63 << 64), key - (key >> 63 << 64), units[lo][0], units[hi][0]))
-    return out
-
-
-def _windows_of(df: DataFrame, key: list[str], text_col: str, min_words: int) -> DataFrame:
-    """One row per window of every whole text: the key columns, low, window, first, last."""
-    n = len(key)
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    names = ["low", "window", "first", "last"]
+def word_hashes(text: str) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in text.split()], np.uint64)
+
+
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every run of ``n`` words, in order."""
+    count = len(words) - n + 1
+    if count <= 0:
+        return np.empty(0, np.uint64)
+    h = np.zeros(count, np.uint64)
+    for j in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + count]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def selected(words: np.ndarray, min_words: int, step: int = 65536) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the selected runs of half a window's words: the least of each window."""
+    half = (min_words + 1) // 2
+    h, wide = run_hashes(words, half), min_words - half + 1
+    n = len(h) - wide + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    view = np.lib.stride_tricks.sliding_window_view(h, wide)
+    at = np.unique(np.concatenate([view[lo : lo + step].argmin(axis=1) + np.arange(lo, min(lo + step, n)) for lo in range(0, n, step)]))
+    return at, h[at]
+
+
+def _repeated(named: DataFrame, min_words: int) -> np.ndarray:
+    """A bitmap of the selected hashes that occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1024):
-            row, cols = [], ([], [], [], [])
-            for i, t in enumerate(part.column(n)):
-                own = fingerprints(t.as_py() or "", min_words)
-                row += [i] * len(own)
-                for c, values in zip(cols, zip(*own, strict=True), strict=False):
-                    c.extend(values)
-            at = pa.array(row, pa.int32())
-            keys = [c.take(at) for c in part.columns[:n]]
-            yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*key, *names])
+        for part in slices(batches, 512):
+            own = [selected(word_hashes(t.as_py() or ""), min_words)[1] for t in part.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], names=["mark"])
+
+    marks = named.select("_text").mapInArrow(run, "mark long").groupBy("mark").count().where("count > 1")
+    slots = marks.select(F.pmod("mark", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    np.bitwise_or.at(bits, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
+    return bits
+
+
+def _windows_of(named: DataFrame, min_words: int) -> DataFrame:
+    """_id, _hash, window, first, next: every window with a selected hash that may be repeated; next is the word after its last line."""
+    shared = named.sparkSession.sparkContext.broadcast(_repeated(named, min_words))
+    back = min_words - (min_words + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for part in slices(batches, 512):
+            row, keys, firsts, nexts = [np.empty(0, np.int32)], [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+            for i, t in enumerate(part.column(2)):
+                words = word_hashes(t.as_py() or "")
+                at, marks = selected(words, min_words)
+                slot = (marks % np.uint64(SLOTS)).astype(np.int64)
+                at = at[(bits[slot >> 3] >> (slot & 7)) & 1 == 1]
+                if not len(at):
+                    continue
+                count = len(words) - min_words + 1
+                edges = np.zeros(count + 1, np.int32)  # windows that hold a selected run start at most ``back`` words before it
+                np.add.at(edges, np.maximum(at - back, 0), 1)
+                np.add.at(edges, np.minimum(at + 1, count), -1)
+                own = np.flatnonzero(np.cumsum(edges[:count]) > 0)
+                row.append(np.full(len(own), i, np.int32))
+                keys.append(run_hashes(words, min_words)[own])
+                firsts.append(own.astype(np.int32))
+                ends = np.cumsum([len(line.split()) for line in t.as_py().split("\n")])
+                nexts.append(ends[np.searchsorted(ends, own + min_words - 1, side="right")].astype(np.int32))
+            at = pa.array(np.concatenate(row))
+            made = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(nexts))]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *made], names=["_id", "_hash", "window", "first", "next"])
 
     schema = T.StructType(
-        [*[T.StructField(c, df.schema[c].dataType) for c in key], T.StructField("low", T.LongType()), T.StructField("window", T.LongType()),
-         T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]
+        [T.StructField("_id", named.schema["_id"].dataType), T.StructField("_hash", T.LongType()), T.StructField("window", T.LongType()),
+         T.StructField("first", T.IntegerType()), T.StructField("next", T.IntegerType())]
     )
-    return df.select(*key, text_col).mapInArrow(run, schema)
+    return named.select("_id", "_hash", "_text").mapInArrow(run, schema)
 
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Repeated runs of lines: _id, _hash (of the text), first, last - line numbers, both inclusive.
+    """Repeated runs of words: _id, _hash (of the text), first, last - word numbers, both inclusive.
 
-    The first place, by (id, text hash, line), keeps its lines; a later place in the same document
-    loses only lines after the first place's last one.  Rows of one id and one text count as one
+    The first place, by (id, text hash, word), keeps its words; a later place in the same document
+    loses only words on lines after the first place's last one, so no line is cut by itself.  Rows of one id and one text count as one
     document.
     """
     named = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
-    found = _windows_of(named, ["_id", "_hash"], "_text", min_words)
-    place = F.struct("_id", "_hash", "first", "last")
-    firsts = (
-        found.groupBy("low", "window").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where(~F.col("head").eqNullSafe(F.col("tail")))
-    )
-    later = found.join(firsts.select("low", "window", "head"), ["low", "window"]).where(~place.eqNullSafe(F.col("head")))
+    place, places = F.struct("_id", "_hash", "first"), Window.partitionBy("window").orderBy("_id", "_hash", "first")
+    found = _windows_of(named, min_words).withColumn("head", F.first(F.struct("_id", "_hash", "first", "next")).over(places))
+    later = found.where(~place.eqNullSafe(F.struct("head._id", "head._hash", "head.first")))
     own = F.col("_id").eqNullSafe(F.col("head._id")) & (F.col("_hash") == F.col("head._hash"))
-    start = F.when(own, F.greatest(F.col("first"), F.col("head.last") + 1)).otherwise(F.col("first"))
-    return later.select("_id", "_hash", start.alias("first"), "last").where("first <= last")
+    start = F.when(own, F.greatest("first", "head.next")).otherwise(F.col("first"))
+    return later.select("_id", "_hash", start.alias("first"), (F.col("first") + min_words - 1).alias("last")).where("first <= last")
 
 
-def _merged(runs: Column) -> Column:
-    """Sorted runs with overlapping ones joined."""
-    none = F.from_json(F.lit("[]"), "array<struct<first:int,last:int>>")
+def cut(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without the words of the runs, and how many lines went with them.
 
-    def add(acc: Column, x: Column) -> Column:
-        end = F.element_at(acc, -1)
-        longer = F.struct(end["first"].alias("first"), F.greatest(end["last"], x["last"]).alias("last"))
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))
-        return F.when((F.size(acc) > 0) & (x["first"] <= F.try_element_at(acc, F.lit(-1))["last"]), joined).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(F.array_sort(runs), none, add)
+    A line that loses all its words goes, and so do blank lines inside a run; of a line that loses
+    some, the rest stays, with one space where words went between others.
+    """
+    merged: list[list[int]] = []
+    for first, last in sorted(runs):
+        if merged and first <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], last)
+        else:
+            merged.append([first, last])
+    lines = text.split("\n")
+    spans = [[m.span() for m in _WORD.finditer(line)] for line in lines]
+    line_of = [i for i, s in enumerate(spans) for _ in s]
+    lost, blank = np.zeros(len(line_of), bool), np.zeros(len(lines), bool)
+    for first, last in merged:
+        lost[first : last + 1] = True
+        blank[line_of[first] : line_of[last] + 1] = True
+    kept, at = [], 0
+    for i, (line, own) in enumerate(zip(lines, spans, strict=True)):
+        out = lost[at : at + len(own)]
+        at += len(own)
+        if own and not out.any() or not own and not blank[i]:
+            kept.append(line)
+        elif own and not out.all():
+            pieces: list[list[int]] = []
+            for k, (a, b) in enumerate(own):
+                if out[k]:
+                    continue
+                if k and not out[k - 1]:
+                    pieces[-1][1] = b
+                else:
+                    pieces.append([a if k else 0, b])
+            if not out[-1]:
+                pieces[-1][1] = len(line)
+            kept.append(" ".join(line[a:b] for a, b in pieces))
+    return "\n".join(kept), len(lines) - len(kept)
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("gone", T.LongType())]))
+def _cut(text: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.DataFrame:
+    done = [(None, 0) if f is None else cut(t, list(zip(f.tolist(), z.tolist(), strict=True))) for t, f, z in zip(text, firsts, lasts, strict=True)]
+    return pd.DataFrame(done, columns=["text", "gone"])
 
 
 def dedup_lines(
@@ -135,24 +181,23 @@ def dedup_lines(
 ) -> DataFrame:
     """``df`` with later repeats of passages of at least ``min_words`` words deleted from ``text_col``.
 
-    A passage is a run of whole lines; the lines of a deleted run go, all other lines (blank ones
-    between runs too) stay as they are.  Texts without a repeat come back unchanged, null and empty
-    ones too, and one output row per input row.  Equal texts under different ids are repeats: all but
-    the least id lose their lines.  Null ids sort first.  ``removed_col`` adds the number of lines
-    deleted.  Columns of any other name pass through.
+    A passage is a run of words, wherever lines break; lines that lose all their words go, all other
+    lines (blank ones between runs too) stay.  Texts without a repeat come back unchanged, null and
+    empty ones too, and one output row per input row.  Equal texts under different ids are repeats:
+    all but the least id lose their words.  Null ids sort first.  ``removed_col`` adds the number of
+    lines deleted.  Columns of any other name pass through.
     """
     runs = (
         repeated_runs(df, id_col, text_col, min_words)
         .groupBy("_id", "_hash")
-        .agg(F.collect_set(F.struct("first", "last")).alias("_runs"))
-        .select(F.struct("_id", "_hash").alias("_of"), _merged(F.col("_runs")).alias("_runs"))
+        .agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("_runs"))
+        .select(F.struct("_id", "_hash").alias("_of"), F.col("_runs.first").alias("_firsts"), F.col("_runs.last").alias("_lasts"))
     )
     rows = df.select(F.struct("*").alias("_row"), F.struct(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")).alias("_key"))
     same = F.col("_key._id").eqNullSafe(F.col("_of._id")) & (F.col("_key._hash") == F.col("_of._hash"))
-    joined = rows.join(runs, same, "left")
-    lines = F.split(F.col("_row")[text_col], "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.exists("_runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
-    text = F.when(F.col("_runs").isNull(), F.col("_row")[text_col]).otherwise(F.array_join(kept, "\n"))
-    gone = F.coalesce(F.aggregate("_runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1), F.lit(0))
+    joined = rows.join(runs, same, "left").withColumn(
+        "_done", _cut(F.when(F.col("_firsts").isNotNull(), F.col("_row")[text_col]), F.col("_firsts"), F.col("_lasts"))
+    )
+    text = F.when(F.col("_firsts").isNull(), F.col("_row")[text_col]).otherwise(F.col("_done.text"))
     cols = [(text if c == text_col else F.col("_row")[c]).alias(c) for c in df.columns]
-    return joined.select(*cols, *([gone.cast("long").alias(removed_col)] if removed_col else []))
+    return joined.select(*cols, *([F.coalesce("_done.gone", F.lit(0)).cast("long").alias(removed_col)] if removed_col else []))

@@ -70,3 +70,12 @@ def test_repeats_within_a_document_and_edge_rows(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in linededup.dedup_lines(df, min_words=5).collect()) == [(0, p), (5, ""), (5, "")]
     assert linededup.dedup_lines(df.limit(0)).count() == 0
     assert linededup.dedup_lines(df).columns == df.columns
+
+
+def test_passages_inside_lines_and_across_breaks(spark):
+    words = [f"p{i}" for i in range(54)]
+    passage = " ".join(words)
+    broken = " ".join(words[:20]) + "\n" + " ".join(words[20:])
+    texts = {1: f"a b {passage} c\nd", 2: f"e {passage} f g", 3: f"h {broken} i\nj", 4: f"k {' '.join(words[:49])} l", 5: f"m\n  n {passage}\no"}
+    got = run(spark, texts, 50)
+    assert got == {1: texts[1], 2: "e f g", 3: "h\ni\nj", 4: texts[4], 5: "m\n  n\no"}
