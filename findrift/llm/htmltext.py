@@ -3,8 +3,8 @@
 The standard library's streaming parser turns a page into lines (blocks), each with the path of open
 elements.  A line's ratio is its text length per tag; the ratios are smoothed with a Gaussian and
 split by a threshold, which clusters lines into content and the rest.  The content lines choose the
-region: the element that holds them (an ``article`` or ``main`` where there is one).  All of that
-region's lines are then kept, short ones too, except those inside elements that by tag, role or
+region: the common ancestor of all of them, or of all ``article`` and ``main`` elements where those
+hold enough, with headings and paragraphs beside it.  All of that region's lines are then kept, short ones too, except those inside elements that by tag, role or
 class are menus, headers, footers, sidebars, notices, adverts, forms or comments.
 """
 
@@ -44,6 +44,9 @@ SKIP_WORDS = frozenset(
 #: After these a word says what a wrapper goes without or beside, not what it is.
 BESIDE = frozenset("has with no without".split())
 CONTAINERS = ("article", "main")
+#: Elements that are too small to be a region, and headings, which belong to a region beside them.
+LEAVES = frozenset("p li td th tr h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 class _Lines(HTMLParser):
@@ -163,6 +166,13 @@ def content_lines(lengths: np.ndarray, tags: np.ndarray) -> np.ndarray:
     return soft >= min(soft.std(), soft.max())
 
 
+def long_lines(lengths: np.ndarray, tags: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """The picked lines that are content by themselves and not only beside it; all where there are none."""
+    ratio = lengths / np.maximum(tags, 1)
+    own = picked & (ratio >= min(smooth(ratio).std(), ratio.max()))
+    return own if own.any() else picked
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, one per line; empty where the page has none."""
     if not html:
@@ -174,7 +184,8 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     lengths = np.array([len(t) for t, _, _ in lines])
-    picked = content_lines(lengths, np.array([n for _, n, _ in lines]))
+    tags = np.array([n for _, n, _ in lines])
+    picked = long_lines(lengths, tags, content_lines(lengths, tags))
     weight: dict[int, int] = {}
     for (_, _, home), n in zip(lines, np.where(picked, lengths, 0).tolist(), strict=True):
         at = home
@@ -182,21 +193,44 @@ def main_text(html: str | None) -> str:
             weight[at] = weight.get(at, 0) + n
             at = page.parent[at]
     total = weight.get(0, 0)
-    root = _region(page, weight, total)
+    root = _region(page, lines, weight, total)
     return "\n".join(t for t, _, home in lines if _inside(page.parent, home, root))
 
 
-def _region(page: _Lines, weight: dict[int, int], total: int) -> int:
-    """The element that holds the content: an article or main with most of it, else the deepest with 90 %."""
-    for name in CONTAINERS:
-        held = [(w, -i) for i, w in weight.items() if page.tag[i] == name]
-        if held and max(held)[0] >= 0.4 * total:
-            return -max(held)[1]
-    best = 0
-    for i, w in weight.items():
-        if w >= 0.9 * total and page.depth[i] > page.depth[best] and page.tag[i] not in ("p", "span", "a", "b", "i", "em", "strong", "li", "td", "h1"):
-            best = i
-    return best
+def _region(page: _Lines, lines: list[tuple[str, int, int]], weight: dict[int, int], total: int) -> int:
+    """The element that holds the content: the common ancestor of all articles and mains with text, or of all content lines.
+
+    Articles and mains count where they hold 0.4 of the content; headings and paragraphs beside the
+    region widen it to the element around them (headings only, where that is the body).
+    """
+
+    def above(at: int) -> list[int]:
+        path = []
+        while at >= 0:
+            path.append(at)
+            at = page.parent[at]
+        return path
+
+    outer = [i for i in weight if page.tag[i] in CONTAINERS and not any(page.tag[j] in CONTAINERS for j in above(page.parent[i]))]
+    held = sum(weight[i] for i in outer)
+    if outer and held >= 0.4 * total:
+        paths = [set(above(i)) for i in outer]
+        root = max(set.intersection(*paths))
+    else:
+        root = max((i for i, w in weight.items() if w == total), default=0)
+    while root > 0 and page.tag[root] not in BLOCKS or page.tag[root] in LEAVES:
+        root = page.parent[root]
+    while root > 0 and page.tag[root] not in ("main", "body", "html"):
+        parent, beside = page.parent[root], False
+        for _, _, home in lines:
+            path = above(home)
+            if root not in path and parent in path:
+                below = [page.tag[i] for i in path[: path.index(parent)]]
+                beside |= any(t in HEADINGS for t in below[-1:]) if page.tag[parent] in ("body", "html", "") else any(t in HEADINGS or t == "p" for t in below)
+        if not beside:
+            break
+        root = parent
+    return root
 
 
 def _inside(parent: list[int], at: int, root: int) -> bool:

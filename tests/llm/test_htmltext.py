@@ -61,3 +61,19 @@ def test_odd_markup_ends():
         assert isinstance(htmltext.main_text(html), str)
     long = "<article>" + "".join(f"<p>word {i}</p>" for i in range(20_000)) + "</article>"
     assert htmltext.main_text(long).count("\n") == 19_999
+
+
+BODY = f"<div><p>{WORDS}</p><p>{WORDS * 6}</p><p>{WORDS * 6}</p><p>{WORDS * 6}</p></div>"
+BODY_TEXT = "\n".join([WORDS.strip(), *[(WORDS * 6).strip()] * 3])
+WIDE = {
+    "title and lead beside the body": (f"<div><h1>Title</h1><p>lead</p>{BODY}</div><div id=footer>end</div>", f"Title\nlead\n{BODY_TEXT}"),
+    "heading of a main": (f"<main><h1>Title</h1><article>{BODY}</article></main>", f"Title\n{BODY_TEXT}"),
+    "heading beside an article": (f"<div><h2>Title</h2><article>{BODY}</article></div><nav>x</nav>", f"Title\n{BODY_TEXT}"),
+    "two articles": (f"<div><article>{BODY}</article><article><p>{WORDS * 8}</p></article></div><div>Site</div>", f"{BODY_TEXT}\n{(WORDS * 8).strip()}"),
+}
+
+
+@pytest.mark.parametrize("name", WIDE)
+def test_wide_regions(name):
+    html, want = WIDE[name]
+    assert htmltext.main_text(page(html)) == want
