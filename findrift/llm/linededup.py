@@ -1,15 +1,17 @@
-"""Repeated passages: winnowed word fingerprints, windows joined to the first occurrence.
-
-A document is a sequence of words, wherever its lines break.  Every run of ``min_words`` or more
-words that two places share is a row of shared *windows* of ``min_words`` words.  Winnowing finds
-where such windows can be: of the hashes of half-length word runs the least of each window is
-selected, so places that share a window share a selected hash.  Selected hashes that occur once are
-left out (a bitmap of the others goes to every task; a false hit costs rows, never results), and
-only windows around the rest are made and joined.
-
-Joined positions: a window's later places meet its first place, never each other, so a passage in
-thousands of documents costs as many rows, not pairs.  Windows start at every word, so the union of
-the matched windows is the maximal repeated run, extended both ways.
+"""Repeated passages by winnowing: window minima, joined positions, matches extended both ways.
+
+A document is a sequence of words, wherever its lines break.  The hashes of runs of RUN words are
+winnowed: of every WINDOW neighbours the least is selected, with RUN + WINDOW - 1 = ``min_words``, so
+two places that share ``min_words`` words share a selected hash, whatever stands around.  Selected
+hashes that occur once are left out.  A hash's first place, by (id, text hash, word), is its head;
+every other place is joined to the head, never to each other, so a passage in thousands of documents
+costs as many rows and not pairs.  Neighbouring places on one diagonal form a chain; only the words
+before and after a chain are compared, up to ``min_words`` each way, and matches that reach
+``min_words`` are deleted from the later document.
+
+All tables between the steps are written to the shared folder or shuffled; nothing of the documents
+comes to the driver.  A hash with many places is one key of plain shuffle joins against one row each,
+which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -18,116 +20,131 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import fresh, slices, written
+from .words import Words, run_hashes, sliding, text_slices
 
 MIN_WORDS = 50
-#: Bits of the map of repeated hashes.
-SLOTS = 1 << 26
-_WORD = re.compile(r"\S+")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+PLACE = ["_id", "_hash"]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in text.split()], np.uint64)
+def split_of(min_words: int) -> tuple[int, int]:
+    """(words in a hashed run, runs in a winnowing window); chosen so that neighbouring selected runs touch."""
+    run = min_words // 2 + 1
+    return run, min_words - run + 1
 
 
-def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every run of ``n`` words, in order."""
-    count = len(words) - n + 1
-    if count <= 0:
-        return np.empty(0, np.uint64)
-    h = np.zeros(count, np.uint64)
-    for j in range(n):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + count]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+def selected(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, word numbers in the row, and hashes of the selected runs: the minima (ties all) of the windows."""
+    run, wide = split_of(min_words)
+    h = run_hashes(words.hashes, run)
+    least = sliding(h, wide, np.minimum)
+    if not len(least):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    row = words.row_of(np.arange(len(least)))
+    least[np.arange(len(least)) + min_words > words.bounds[row + 1]] = 0  # windows over a row's end
+    none = np.zeros(wide - 1, np.uint64)
+    at = np.flatnonzero((sliding(np.concatenate([none, least, none]), wide, np.maximum) == h) & (h != 0))
+    row = words.row_of(at)
+    return row, at - words.bounds[row], h[at]
 
 
-def selected(words: np.ndarray, min_words: int, step: int = 65536) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the selected runs of half a window's words: the least of each window."""
-    half = (min_words + 1) // 2
-    h, wide = run_hashes(words, half), min_words - half + 1
-    n = len(h) - wide + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    view = np.lib.stride_tricks.sliding_window_view(h, wide)
-    at = np.unique(np.concatenate([view[lo : lo + step].argmin(axis=1) + np.arange(lo, min(lo + step, n)) for lo in range(0, n, step)]))
-    return at, h[at]
-
-
-def _repeated(named: DataFrame, min_words: int) -> np.ndarray:
-    """A bitmap of the selected hashes that occur more than once."""
+def marks(named: DataFrame, min_words: int) -> DataFrame:
+    """_id, _hash, at, mark: every selected run of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 512):
-            own = [selected(word_hashes(t.as_py() or ""), min_words)[1] for t in part.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], names=["mark"])
-
-    marks = named.select("_text").mapInArrow(run, "mark long").groupBy("mark").count().where("count > 1")
-    slots = marks.select(F.pmod("mark", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
-    bits = np.zeros(SLOTS // 8, np.uint8)
-    np.bitwise_or.at(bits, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
-    return bits
-
-
-def _windows_of(named: DataFrame, min_words: int) -> DataFrame:
-    """_id, _hash, window, first, next: every window with a selected hash that may be repeated; next is the word after its last line."""
-    shared = named.sparkSession.sparkContext.broadcast(_repeated(named, min_words))
-    back = min_words - (min_words + 1) // 2
+        for part in text_slices(batches, 2):
+            row, at, mark = selected(Words(part.column(2)), min_words)
+            own = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(own), part.column(1).take(own), pa.array(at.astype(np.int32)), pa.array(mark.view(np.int64))], names=[*PLACE, "at", "mark"]
+            )
+
+    schema = T.StructType([named.schema["_id"], named.schema["_hash"], T.StructField("at", T.IntegerType()), T.StructField("mark", T.LongType())])
+    return named.select(*PLACE, "_text").mapInArrow(run, schema)
+
+
+def _same(*pairs: tuple[str, str]) -> Column:
+    out = F.lit(True)
+    for a, b in pairs:
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
+
+
+def chains(named: DataFrame, min_words: int) -> DataFrame:
+    """_id, _hash, first, last (words, inclusive), h_id, h_hash, h_first, h_last: chains of runs and where they stand first."""
+    run, wide = split_of(min_words)
+    found = written(marks(named, min_words))
+    repeated = written(found.groupBy("mark").count().where("count > 1").select(F.col("mark").alias("_mark")))
+    places = written(found.join(repeated, F.col("mark") == F.col("_mark")).drop("_mark"))
+    head = F.min(F.struct("_id", "_hash", "at")).alias("head")
+    heads = written(places.groupBy(F.col("mark").alias("_mark")).agg(head))
+    later = places.join(heads, F.col("mark") == F.col("_mark")).where(~F.struct("_id", "_hash", "at").eqNullSafe(F.col("head")))
+    of = Window.partitionBy(*PLACE).orderBy("at")
+    flat = later.select(*PLACE, "at", F.col("head._id").alias("h_id"), F.col("head._hash").alias("h_hash"), F.col("head.at").alias("h_at"))
+    before = [F.lag(c).over(of).alias(f"p_{c}") for c in ("at", "h_id", "h_hash", "h_at")]
+    goes_on = _same(("h_id", "p_h_id"), ("h_hash", "p_h_hash")) & (F.col("at") - F.col("h_at") == F.col("p_at") - F.col("p_h_at")) & (F.col("at") - F.col("p_at") <= wide)
+    chained = flat.select("*", *before).withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(of))
+    ends = chained.groupBy(*PLACE, "_chain").agg(
+        F.min("at").alias("first"), (F.max("at") + run - 1).alias("last"), F.min(F.struct("at", "h_id", "h_hash", "h_at")).alias("_head")
+    )
+    return ends.select(
+        *PLACE, "first", "last", F.col("_head.h_id").alias("h_id"), F.col("_head.h_hash").alias("h_hash"), F.col("_head.h_at").alias("h_first"),
+        (F.col("_head.h_at") + F.col("last") - F.col("first")).alias("h_last"),
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for part in slices(batches, 512):
-            row, keys, firsts, nexts = [np.empty(0, np.int32)], [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
-            for i, t in enumerate(part.column(2)):
-                words = word_hashes(t.as_py() or "")
-                at, marks = selected(words, min_words)
-                slot = (marks % np.uint64(SLOTS)).astype(np.int64)
-                at = at[(bits[slot >> 3] >> (slot & 7)) & 1 == 1]
-                if not len(at):
-                    continue
-                count = len(words) - min_words + 1
-                edges = np.zeros(count + 1, np.int32)  # windows that hold a selected run start at most ``back`` words before it
-                np.add.at(edges, np.maximum(at - back, 0), 1)
-                np.add.at(edges, np.minimum(at + 1, count), -1)
-                own = np.flatnonzero(np.cumsum(edges[:count]) > 0)
-                row.append(np.full(len(own), i, np.int32))
-                keys.append(run_hashes(words, min_words)[own])
-                firsts.append(own.astype(np.int32))
-                ends = np.cumsum([len(line.split()) for line in t.as_py().split("\n")])
-                nexts.append(ends[np.searchsorted(ends, own + min_words - 1, side="right")].astype(np.int32))
-            at = pa.array(np.concatenate(row))
-            made = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(nexts))]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *made], names=["_id", "_hash", "window", "first", "next"])
 
+def _flanks(rows: DataFrame, wanted: DataFrame, text_col: str, min_words: int) -> DataFrame:
+    """f_id, f_hash, word, before, after: hashes (bytes) of up to ``min_words`` words on either side of the wanted words."""
+    asked = wanted.groupBy("h_id", "h_hash").agg(F.collect_set("word").alias("_words"))
+    met = rows.join(asked, _same(("_id", "h_id"), ("_hash", "h_hash"))).select("_row", *PLACE, "_words")
     schema = T.StructType(
-        [T.StructField("_id", named.schema["_id"].dataType), T.StructField("_hash", T.LongType()), T.StructField("window", T.LongType()),
-         T.StructField("first", T.IntegerType()), T.StructField("next", T.IntegerType())]
+        [T.StructField("f_id", rows.schema["_id"].dataType), T.StructField("f_hash", T.LongType()), T.StructField("word", T.IntegerType()),
+         T.StructField("before", T.BinaryType()), T.StructField("after", T.BinaryType())]
     )
-    return named.select("_id", "_hash", "_text").mapInArrow(run, schema)
 
-
-def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Repeated runs of words: _id, _hash (of the text), first, last - word numbers, both inclusive.
-
-    The first place, by (id, text hash, word), keeps its words; a later place in the same document
-    loses only words on lines after the first place's last one, so no line is cut by itself.  Rows of one id and one text count as one
-    document.
-    """
-    named = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
-    place, places = F.struct("_id", "_hash", "first"), Window.partitionBy("window").orderBy("_id", "_hash", "first")
-    found = _windows_of(named, min_words).withColumn("head", F.first(F.struct("_id", "_hash", "first", "next")).over(places))
-    later = found.where(~place.eqNullSafe(F.struct("head._id", "head._hash", "head.first")))
-    own = F.col("_id").eqNullSafe(F.col("head._id")) & (F.col("_hash") == F.col("head._hash"))
-    start = F.when(own, F.greatest("first", "head.next")).otherwise(F.col("first"))
-    return later.select("_id", "_hash", start.alias("first"), (F.col("first") + min_words - 1).alias("last")).where("first <= last")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                h = Words(b.column(0).field(text_col).slice(i, 1)).hashes
+                at = sorted(b.column(3)[i].as_py())
+                one = b.slice(i, 1)
+                of = pa.array([0] * len(at), pa.int32())
+                before = pa.array([h[max(0, w - min_words) : w].tobytes() for w in at], pa.binary())
+                after = pa.array([h[w + 1 : w + 1 + min_words].tobytes() for w in at], pa.binary())
+                yield pa.RecordBatch.from_arrays([one.column(1).take(of), one.column(2).take(of), pa.array(at, pa.int32()), before, after], names=schema.names)
+
+    return met.mapInArrow(run, schema)
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """How many leading hashes are equal."""
+    n = min(len(a), len(b))
+    off = np.flatnonzero(a[:n] != b[:n])
+    return int(off[0]) if len(off) else n
+
+
+def extended(text: str, met: list[dict], min_words: int) -> list[tuple[int, int]]:
+    """The runs of a text to be deleted: its chains extended both ways, where they reach ``min_words``."""
+    words = Words(pa.array([text], pa.large_string())).hashes
+    line_end, out = None, []
+    for c in met:
+        first = c["first"] - _equal(words[: c["first"]][::-1], np.frombuffer(c["before"], np.uint64)[::-1])
+        last = c["last"] + _equal(words[c["last"] + 1 :], np.frombuffer(c["after"], np.uint64))
+        if last - first + 1 < min_words:
+            continue
+        if c["back"] is not None:  # the first place is in the same text
+            line_end = np.cumsum([len(_WORD.findall(x)) for x in text.split("\n")]) if line_end is None else line_end
+            kept = first - c["back"] + min_words - 1
+            first = max(first, int(line_end[np.searchsorted(line_end, kept, side="right")]))
+        if first <= last:
+            out.append((first, last))
+    return out
 
 
 def cut(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
@@ -136,19 +153,20 @@ def cut(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
     A line that loses all its words goes, and so do blank lines inside a run; of a line that loses
     some, the rest stays, with one space where words went between others.
     """
-    merged: list[list[int]] = []
-    for first, last in sorted(runs):
-        if merged and first <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], last)
-        else:
-            merged.append([first, last])
     lines = text.split("\n")
     spans = [[m.span() for m in _WORD.finditer(line)] for line in lines]
     line_of = [i for i, s in enumerate(spans) for _ in s]
-    lost, blank = np.zeros(len(line_of), bool), np.zeros(len(lines), bool)
-    for first, last in merged:
-        lost[first : last + 1] = True
-        blank[line_of[first] : line_of[last] + 1] = True
+    lost = np.zeros(len(line_of) + 2, np.int64)
+    for first, last in runs:
+        lost[first + 1] += 1
+        lost[last + 2] -= 1
+    lost = np.cumsum(lost) > 0  # one word on, so that every run has a beginning and an end
+    blank = np.zeros(len(lines) + 1, np.int64)
+    edges = np.flatnonzero(np.diff(np.append(lost, False)))
+    for first, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):  # maximal runs: touching ones are one
+        blank[line_of[first]] += 1
+        blank[line_of[end - 1] + 1] -= 1
+    lost, blank = lost[1:], np.cumsum(blank) > 0
     kept, at = [], 0
     for i, (line, own) in enumerate(zip(lines, spans, strict=True)):
         out = lost[at : at + len(own)]
@@ -170,34 +188,52 @@ def cut(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
     return "\n".join(kept), len(lines) - len(kept)
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("gone", T.LongType())]))
-def _cut(text: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.DataFrame:
-    done = [(None, 0) if f is None else cut(t, list(zip(f.tolist(), z.tolist(), strict=True))) for t, f, z in zip(text, firsts, lasts, strict=True)]
-    return pd.DataFrame(done, columns=["text", "gone"])
-
-
 def dedup_lines(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, removed_col: str | None = None
 ) -> DataFrame:
     """``df`` with later repeats of passages of at least ``min_words`` words deleted from ``text_col``.
 
-    A passage is a run of words, wherever lines break; lines that lose all their words go, all other
-    lines (blank ones between runs too) stay.  Texts without a repeat come back unchanged, null and
-    empty ones too, and one output row per input row.  Equal texts under different ids are repeats:
-    all but the least id lose their words.  Null ids sort first.  ``removed_col`` adds the number of
-    lines deleted.  Columns of any other name pass through.
+    A passage is a run of words, wherever lines break; a later place of one, by (id, text hash, word),
+    loses its words if its match with the first place of one of the passage's selected hashes has
+    ``min_words`` words.  A later place in the same text loses only words on lines after the ones that
+    hold the match's first ``min_words`` words, so no line is cut by itself.  Lines that lose all their
+    words go, all other lines (blank ones between runs too) stay.  Texts without a repeat come back
+    unchanged, null and empty ones too, and one output row per input row.  Equal texts under different
+    ids are repeats: all but the least id lose their words; rows of one id and one text count as one
+    document.  Null ids sort first.  ``removed_col`` adds the number of lines deleted, in place of a
+    column of that name; columns of any other name pass through.
     """
-    runs = (
-        repeated_runs(df, id_col, text_col, min_words)
-        .groupBy("_id", "_hash")
-        .agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("_runs"))
-        .select(F.struct("_id", "_hash").alias("_of"), F.col("_runs.first").alias("_firsts"), F.col("_runs.last").alias("_lasts"))
-    )
-    rows = df.select(F.struct("*").alias("_row"), F.struct(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")).alias("_key"))
-    same = F.col("_key._id").eqNullSafe(F.col("_of._id")) & (F.col("_key._hash") == F.col("_of._hash"))
-    joined = rows.join(runs, same, "left").withColumn(
-        "_done", _cut(F.when(F.col("_firsts").isNotNull(), F.col("_row")[text_col]), F.col("_firsts"), F.col("_lasts"))
+    rows = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
+    named = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")).where(F.col(text_col).isNotNull())
+    found = written(chains(named, min_words))
+    wanted = found.select("h_id", "h_hash", F.explode(F.array("h_first", "h_last")).alias("word")).distinct()
+    flanks = written(_flanks(rows, wanted, text_col, min_words))
+    left = flanks.toDF("l_id", "l_hash", "l_word", "before", "_after")
+    right = flanks.toDF("r_id", "r_hash", "r_word", "_before", "after")
+    back = F.when(_same(("_id", "h_id"), ("_hash", "h_hash")), F.col("first") - F.col("h_first")).alias("back")
+    sided = (
+        found.join(left, _same(("h_id", "l_id"), ("h_hash", "l_hash"), ("h_first", "l_word")))
+        .join(right, _same(("h_id", "r_id"), ("h_hash", "r_hash"), ("h_last", "r_word")))
+        .select(F.col("_id").alias("m_id"), F.col("_hash").alias("m_hash"), F.struct("first", "last", back, "before", "after").alias("_chain"))
     )
-    text = F.when(F.col("_firsts").isNull(), F.col("_row")[text_col]).otherwise(F.col("_done.text"))
-    cols = [(text if c == text_col else F.col("_row")[c]).alias(c) for c in df.columns]
-    return joined.select(*cols, *([F.coalesce("_done.gone", F.lit(0)).cast("long").alias(removed_col)] if removed_col else []))
+    met = sided.groupBy("m_id", "m_hash").agg(F.collect_list("_chain").alias("_met"))
+    joined = rows.join(met, _same(("_id", "m_id"), ("_hash", "m_hash")), "left").select("_row", "_met")
+    gone = fresh("gone", df.columns)
+    schema = T.StructType([*df.schema.fields, T.StructField(gone, T.LongType())])
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 256):
+            row = b.column(0).flatten()
+            texts, lines = row[at], np.zeros(b.num_rows, np.int64)
+            touched = np.flatnonzero(b.column(1).is_valid().to_numpy(zero_copy_only=False))
+            if len(touched):
+                own = texts.to_pylist()
+                for i in touched.tolist():
+                    own[i], lines[i] = cut(own[i], extended(own[i], b.column(1)[i].as_py(), min_words))
+                row[at] = pa.array(own, texts.type)
+            yield pa.RecordBatch.from_arrays([*row, pa.array(lines)], names=schema.names)
+
+    done = joined.mapInArrow(run, schema)
+    keep = [c for c in df.columns if removed_col is None or c.lower() != removed_col.lower()]
+    return done.select(*keep, *([F.col(gone).alias(removed_col)] if removed_col else []))
