@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, slices, written
-from .words import Words, run_hashes, sliding, text_slices
+from .words import Words, mix, run_hashes, sliding, text_slices
 
 MIN_WORDS = 50
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -54,19 +54,35 @@ def selected(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.n
     return row, at - words.bounds[row], h[at]
 
 
+def numbered(row: np.ndarray, at: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(marks with their number among equal ones of the row in them, word of the previous equal one or -1)."""
+    order = np.lexsort((at, mark, row))
+    again = np.zeros(len(order), bool)
+    again[1:] = (row[order][1:] == row[order][:-1]) & (mark[order][1:] == mark[order][:-1])
+    begins = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
+    number, prev = np.empty(len(order), np.uint64), np.full(len(order), -1, np.int64)
+    number[order] = np.arange(len(order)) - begins
+    prev[order[again]] = at[order[np.flatnonzero(again) - 1]]
+    return np.where(number > 0, mix(mark + number * np.uint64(0xA24BAED4963EE407)), mark), prev
+
+
 def marks(named: DataFrame, min_words: int) -> DataFrame:
-    """_id, _hash, at, mark: every selected run of every whole text."""
+    """_id, _hash, at, prev, mark: every selected run of every whole text.
+
+    A text's second occurrence of a run is another mark than its first, and so on, so texts that
+    repeat themselves line up occurrence by occurrence; ``prev`` is the occurrence before, or -1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, 2):
             row, at, mark = selected(Words(part.column(2)), min_words)
+            mark, prev = numbered(row, at, mark)
             own = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(own), part.column(1).take(own), pa.array(at.astype(np.int32)), pa.array(mark.view(np.int64))], names=[*PLACE, "at", "mark"]
-            )
+            more = [pa.array(at.astype(np.int32)), pa.array(prev.astype(np.int32)), pa.array(mark.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), *more], names=[*PLACE, "at", "prev", "mark"])
 
-    schema = T.StructType([named.schema["_id"], named.schema["_hash"], T.StructField("at", T.IntegerType()), T.StructField("mark", T.LongType())])
-    return named.select(*PLACE, "_text").mapInArrow(run, schema)
+    more = [T.StructField("at", T.IntegerType()), T.StructField("prev", T.IntegerType()), T.StructField("mark", T.LongType())]
+    return named.select(*PLACE, "_text").mapInArrow(run, T.StructType([named.schema["_id"], named.schema["_hash"], *more]))
 
 
 def _same(*pairs: tuple[str, str]) -> Column:
@@ -81,43 +97,50 @@ def chains(named: DataFrame, min_words: int) -> DataFrame:
     run, wide = split_of(min_words)
     found = written(marks(named, min_words))
     repeated = written(found.groupBy("mark").count().where("count > 1").select(F.col("mark").alias("_mark")))
-    places = written(found.join(repeated, F.col("mark") == F.col("_mark")).drop("_mark"))
+    places = written(found.join(repeated, F.col("mark") == F.col("_mark"), "left").where("_mark is not null or prev >= 0"))
     head = F.min(F.struct("_id", "_hash", "at")).alias("head")
-    heads = written(places.groupBy(F.col("mark").alias("_mark")).agg(head))
-    later = places.join(heads, F.col("mark") == F.col("_mark")).where(~F.struct("_id", "_hash", "at").eqNullSafe(F.col("head")))
+    heads = written(places.where("_mark is not null").groupBy("_mark").agg(head))
+    met = places.drop("_mark").join(heads, F.col("mark") == F.col("_mark"), "left")
+    # The first place of all, but the occurrence before where that is the place itself.
+    elsewhere = F.col("head").isNotNull() & ~F.struct("_id", "_hash", "at").eqNullSafe(F.col("head"))
+    before = F.when(F.col("prev") >= 0, F.struct("_id", "_hash", F.col("prev").alias("at")))
+    later = met.select(*PLACE, "at", F.when(elsewhere, F.col("head")).otherwise(before).alias("head")).where("head is not null")
     of = Window.partitionBy(*PLACE).orderBy("at")
     flat = later.select(*PLACE, "at", F.col("head._id").alias("h_id"), F.col("head._hash").alias("h_hash"), F.col("head.at").alias("h_at"))
-    before = [F.lag(c).over(of).alias(f"p_{c}") for c in ("at", "h_id", "h_hash", "h_at")]
+    past = [F.lag(c).over(of).alias(f"p_{c}") for c in ("at", "h_id", "h_hash", "h_at")]
     goes_on = _same(("h_id", "p_h_id"), ("h_hash", "p_h_hash")) & (F.col("at") - F.col("h_at") == F.col("p_at") - F.col("p_h_at")) & (F.col("at") - F.col("p_at") <= wide)
-    chained = flat.select("*", *before).withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(of))
+    chained = flat.select("*", *past).withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(of))
     ends = chained.groupBy(*PLACE, "_chain").agg(
-        F.min("at").alias("first"), (F.max("at") + run - 1).alias("last"), F.min(F.struct("at", "h_id", "h_hash", "h_at")).alias("_head")
+        F.min("at").alias("first"), (F.max("at") + run - 1).alias("last"), F.first("h_id").alias("h_id"), F.first("h_hash").alias("h_hash"), F.min("h_at").alias("h_first")
     )
-    return ends.select(
-        *PLACE, "first", "last", F.col("_head.h_id").alias("h_id"), F.col("_head.h_hash").alias("h_hash"), F.col("_head.h_at").alias("h_first"),
-        (F.col("_head.h_at") + F.col("last") - F.col("first")).alias("h_last"),
-    )
+    return ends.select(*PLACE, "first", "last", "h_id", "h_hash", "h_first", (F.col("h_first") + F.col("last") - F.col("first")).alias("h_last"))
 
 
 def _flanks(rows: DataFrame, wanted: DataFrame, text_col: str, min_words: int) -> DataFrame:
-    """f_id, f_hash, word, before, after: hashes (bytes) of up to ``min_words`` words on either side of the wanted words."""
-    asked = wanted.groupBy("h_id", "h_hash").agg(F.collect_set("word").alias("_words"))
+    """f_id, f_hash, f_word, f_after, flank: hashes (bytes) of up to ``min_words`` words before or after the wanted words."""
+    asked = wanted.groupBy("h_id", "h_hash").agg(F.collect_set(F.struct("word", "after")).alias("_words"))
     met = rows.join(asked, _same(("_id", "h_id"), ("_hash", "h_hash"))).select("_row", *PLACE, "_words")
     schema = T.StructType(
-        [T.StructField("f_id", rows.schema["_id"].dataType), T.StructField("f_hash", T.LongType()), T.StructField("word", T.IntegerType()),
-         T.StructField("before", T.BinaryType()), T.StructField("after", T.BinaryType())]
+        [T.StructField("f_id", rows.schema["_id"].dataType), T.StructField("f_hash", T.LongType()), T.StructField("f_word", T.IntegerType()),
+         T.StructField("f_after", T.BooleanType()), T.StructField("flank", T.BinaryType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                h = Words(b.column(0).field(text_col).slice(i, 1)).hashes
-                at = sorted(b.column(3)[i].as_py())
-                one = b.slice(i, 1)
-                of = pa.array([0] * len(at), pa.int32())
-                before = pa.array([h[max(0, w - min_words) : w].tobytes() for w in at], pa.binary())
-                after = pa.array([h[w + 1 : w + 1 + min_words].tobytes() for w in at], pa.binary())
-                yield pa.RecordBatch.from_arrays([one.column(1).take(of), one.column(2).take(of), pa.array(at, pa.int32()), before, after], names=schema.names)
+        for b in slices(batches, 256):
+            of, at, after, flank = [], [], [], []
+            words = Words(b.column(0).field(text_col))
+            short = words.hashes.astype(np.uint32)
+            for i, asked in enumerate(b.column(3).to_pylist()):
+                lo, hi = words.bounds[i], words.bounds[i + 1]
+                for x in asked:
+                    w = lo + x["word"]
+                    of.append(i)
+                    at.append(x["word"])
+                    after.append(x["after"])
+                    flank.append((short[w + 1 : min(hi, w + 1 + min_words)] if x["after"] else short[max(lo, w - min_words) : w]).tobytes())
+            own = pa.array(of, pa.int32())
+            more = [pa.array(at, pa.int32()), pa.array(after, pa.bool_()), pa.array(flank, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(1).take(own), b.column(2).take(own), *more], names=schema.names)
 
     return met.mapInArrow(run, schema)
 
@@ -129,18 +152,23 @@ def _equal(a: np.ndarray, b: np.ndarray) -> int:
     return int(off[0]) if len(off) else n
 
 
-def extended(text: str, met: list[dict], min_words: int) -> list[tuple[int, int]]:
-    """The runs of a text to be deleted: its chains extended both ways, where they reach ``min_words``."""
-    words = Words(pa.array([text], pa.large_string())).hashes
-    line_end, out = None, []
+def extended(text: str, words: np.ndarray, met: list[dict], min_words: int) -> list[tuple[int, int]]:
+    """The runs of a text (with its words' hashes) to be deleted: its chains extended both ways, where they reach ``min_words``."""
+    ends: dict[tuple, list[int]] = {}
     for c in met:
-        first = c["first"] - _equal(words[: c["first"]][::-1], np.frombuffer(c["before"], np.uint64)[::-1])
-        last = c["last"] + _equal(words[c["last"] + 1 :], np.frombuffer(c["after"], np.uint64))
+        end = ends.setdefault((c["first"], c["last"], c["back"]), [c["first"], c["last"]])
+        flank = np.frombuffer(c["flank"], np.uint32)
+        if c["after"]:
+            end[1] += _equal(words[c["last"] + 1 : c["last"] + 1 + min_words], flank)
+        else:
+            end[0] -= _equal(words[max(0, c["first"] - min_words) : c["first"]][::-1], flank[::-1])
+    line_end, out = None, []
+    for (_, _, back), (first, last) in ends.items():
         if last - first + 1 < min_words:
             continue
-        if c["back"] is not None:  # the first place is in the same text
+        if back is not None:  # the place before is in the same text
             line_end = np.cumsum([len(_WORD.findall(x)) for x in text.split("\n")]) if line_end is None else line_end
-            kept = first - c["back"] + min_words - 1
+            kept = first - back + min_words - 1
             first = max(first, int(line_end[np.searchsorted(line_end, kept, side="right")]))
         if first <= last:
             out.append((first, last))
@@ -196,7 +224,7 @@ def dedup_lines(
     A passage is a run of words, wherever lines break; a later place of one, by (id, text hash, word),
     loses its words if its match with the first place of one of the passage's selected hashes has
     ``min_words`` words.  A later place in the same text loses only words on lines after the ones that
-    hold the match's first ``min_words`` words, so no line is cut by itself.  Lines that lose all their
+    hold the first ``min_words`` words of the place before, so no line is cut by itself.  Lines that lose all their
     words go, all other lines (blank ones between runs too) stay.  Texts without a repeat come back
     unchanged, null and empty ones too, and one output row per input row.  Equal texts under different
     ids are repeats: all but the least id lose their words; rows of one id and one text count as one
@@ -206,17 +234,12 @@ def dedup_lines(
     rows = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
     named = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")).where(F.col(text_col).isNotNull())
     found = written(chains(named, min_words))
-    wanted = found.select("h_id", "h_hash", F.explode(F.array("h_first", "h_last")).alias("word")).distinct()
-    flanks = written(_flanks(rows, wanted, text_col, min_words))
-    left = flanks.toDF("l_id", "l_hash", "l_word", "before", "_after")
-    right = flanks.toDF("r_id", "r_hash", "r_word", "_before", "after")
     back = F.when(_same(("_id", "h_id"), ("_hash", "h_hash")), F.col("first") - F.col("h_first")).alias("back")
-    sided = (
-        found.join(left, _same(("h_id", "l_id"), ("h_hash", "l_hash"), ("h_first", "l_word")))
-        .join(right, _same(("h_id", "r_id"), ("h_hash", "r_hash"), ("h_last", "r_word")))
-        .select(F.col("_id").alias("m_id"), F.col("_hash").alias("m_hash"), F.struct("first", "last", back, "before", "after").alias("_chain"))
-    )
-    met = sided.groupBy("m_id", "m_hash").agg(F.collect_list("_chain").alias("_met"))
+    end = F.explode(F.array(F.struct(F.col("h_first").alias("word"), F.lit(False).alias("after")), F.struct(F.col("h_last").alias("word"), F.lit(True).alias("after"))))
+    ends = found.select(F.col("_id").alias("m_id"), F.col("_hash").alias("m_hash"), "h_id", "h_hash", "first", "last", back, end.alias("_end")).select("*", "_end.*")
+    flanks = _flanks(rows, ends.select("h_id", "h_hash", "word", "after").distinct(), text_col, min_words)
+    sided = ends.join(flanks, _same(("h_id", "f_id"), ("h_hash", "f_hash"), ("word", "f_word"), ("after", "f_after")))
+    met = sided.groupBy("m_id", "m_hash").agg(F.collect_list(F.struct("first", "last", "back", "after", "flank")).alias("_met"))
     joined = rows.join(met, _same(("_id", "m_id"), ("_hash", "m_hash")), "left").select("_row", "_met")
     gone = fresh("gone", df.columns)
     schema = T.StructType([*df.schema.fields, T.StructField(gone, T.LongType())])
@@ -228,9 +251,11 @@ def dedup_lines(
             texts, lines = row[at], np.zeros(b.num_rows, np.int64)
             touched = np.flatnonzero(b.column(1).is_valid().to_numpy(zero_copy_only=False))
             if len(touched):
-                own = texts.to_pylist()
+                words = Words(texts)
+                short, own = words.hashes.astype(np.uint32), texts.to_pylist()
                 for i in touched.tolist():
-                    own[i], lines[i] = cut(own[i], extended(own[i], b.column(1)[i].as_py(), min_words))
+                    runs = extended(own[i], short[words.bounds[i] : words.bounds[i + 1]], b.column(1)[i].as_py(), min_words)
+                    own[i], lines[i] = cut(own[i], runs) if runs else (own[i], 0)
                 row[at] = pa.array(own, texts.type)
             yield pa.RecordBatch.from_arrays([*row, pa.array(lines)], names=schema.names)
 
