@@ -1,16 +1,21 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A 64-bit fingerprint is cut into segments.  For each segment the small Hamming ball (radius 1) of
-its value is enumerated, and the index key is the enumerated value with the other segments as they
-are, so a key names one segment's ball entry and the rest of the fingerprint.  Two fingerprints at
-distance 2 or less meet under a key (each is at most one bit from a value between them) and whole
-distances are verified on what meets.  At most 65 fingerprints lie one bit from a value, so no
-bucket can be hot, whatever the data: a bucket of equal segments alone could hold any number.
-Equal fingerprints are one row before that, so copies cost nothing.
+A 64-bit fingerprint is cut into segments, and each segment has a table of the fingerprints by the
+segment's value.  For a distance r = a * segments + b, two fingerprints within r differ by at most a
+bits in one of the first b + 1 segments, or by at most a - 1 in one of the others (Norouzi, Punjani and
+Fleet, 2012); so the Hamming ball of that radius around each segment's value is enumerated, its values
+are fetched from the segment's table, and whole distances are verified.  At r = 2 and two segments of 32
+bits that is 33 values in the first table and one in the second.
+
+A value under which many fingerprints lie (data of one kind may share a whole segment) would give all
+pairs of them.  Fingerprints that meet such a value are indexed by a nested split instead: the key is
+the whole fingerprint with up to half the distance's bits flipped, under which only a few can lie.
+Equal fingerprints are one row before all that, so copies cost nothing.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, hex64, slices, spread
+from .common import hex64, slices, spread, written
 from .graph import components
 
-BITS, SEGMENTS = 64, 4
+BITS, SEGMENTS = 64, 2
+#: Fingerprints under one segment value above which its members go through the nested split.
+BUCKET = 256
 
 
 def fingerprint(text: str, words_per_shingle: int = 3, step: int = 65536) -> int:
@@ -56,33 +63,79 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def links(distinct: DataFrame, max_distance: int = 2, segments: int = SEGMENTS) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (column fp), enough to connect all within ``max_distance``.
+def radii(max_distance: int, segments: int) -> list[int]:
+    """The radius to be searched in each segment's table; -1 where none has to be."""
+    a, b = divmod(max_distance, segments)
+    return [a if i <= b else a - 1 for i in range(segments)]
 
-    A key's members, in order, link to the one before: its ball puts any two of them within 2 bits.
-    The keys go over all partitions before they are made, since the distinct fingerprints are few
-    bytes and would fill few tasks; a window streams each bucket, so nothing is collected.
-    """
-    if max_distance not in (0, 1, 2) or BITS % segments:
-        raise ValueError("max_distance is 0, 1 or 2; segments divide 64")
-    if max_distance == 0:
-        return distinct.select(F.col("fp").alias("u"), F.col("fp").alias("v")).where("false")
+
+def ball(lo: int, hi: int, radius: int) -> list[int]:
+    """Signed masks with up to ``radius`` bits set among the bits ``lo`` to ``hi`` - 1."""
+    masks = [sum(1 << bit for bit in bits) for n in range(radius + 1) for bits in itertools.combinations(range(lo, hi), n)]
+    return [_signed(m) for m in masks]
+
+
+def _signed(v: int) -> int:
+    return v - (v >> 63 << 64)
+
+
+def _keyed(prints: DataFrame, masks: list[tuple[int, int]], segments: int) -> DataFrame:
+    """fp, seg, key: each fingerprint under every (segment, mask), as the segment's value."""
     width = BITS // segments
-    balls = [[bit for bit in range(s * width, (s + 1) * width)] for s in range(segments)]
-    masks = [0, *[1 << bit for ball in balls for bit in ball]]
-    mask = F.explode(F.array(*[F.lit(m - (m >> 63 << 64)).cast("long") for m in masks]))
-    spread_out = distinct.repartition(spread(distinct))
-    keys = spread_out.select("fp", mask.alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
-    bucket = Window.partitionBy("key").orderBy("fp")
+    whole = F.array(*[F.lit(_signed(((1 << width) - 1) << (s * width))).cast("long") for s in range(segments)])
+    entry = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(m).cast("long").alias("m")) for s, m in masks])).alias("e")
+    return prints.select("fp", entry).select("fp", F.col("e.s").alias("seg"), F.col("fp").bitwiseXOR(F.col("e.m")).bitwiseAND(F.get(whole, F.col("e.s"))).alias("key"))
+
+
+def _nested(prints: DataFrame, max_distance: int) -> DataFrame:
+    """Links between fingerprints by keys that are half the distance from either: buckets stay small whatever the data."""
+    masks = ball(0, BITS, (max_distance + 1) // 2)
+    keys = prints.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("key"))
     if max_distance == 2:
-        pairs = keys.select(F.lag("fp").over(bucket).alias("u"), F.col("fp").alias("v")).where("u is not null")
+        # Any two members of a bucket are within 2 bits, so each links to the one before it.
+        bucket = Window.partitionBy("key").orderBy("fp")
+        return keys.select(F.lag("fp").over(bucket).alias("u"), F.col("fp").alias("v")).where("u is not null")
+    many = keys.select(F.col("fp").alias("u"), "key").join(keys.select(F.col("fp").alias("v"), "key"), "key")
+    return many.where("u < v").select("u", "v")
+
+
+def links(distinct: DataFrame, max_distance: int = 2, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
+    """Links (u, v) between distinct fingerprints (column fp), enough to connect all within ``max_distance``.
+
+    The fingerprints go over all partitions before their balls are made, since they are few bytes and
+    would fill few tasks.
+    """
+    if not 0 <= max_distance <= 4 or BITS % segments:
+        raise ValueError("max_distance is 0 to 4; segments divide 64")
+    radius, width = radii(max_distance, segments), BITS // segments
+    spread_out = distinct.select("fp").repartition(spread(distinct))
+    searched = [s for s in range(segments) if radius[s] >= 0]
+    table = _keyed(spread_out, [(s, 0) for s in searched], segments)
+    hot = written(table.groupBy("seg", "key").count().where(F.col("count") > bucket).select("seg", "key"))
+    probes = _keyed(spread_out, [(s, m) for s in searched for m in ball(s * width, (s + 1) * width, radius[s])], segments)
+    if hot.isEmpty():
+        nested = None
     else:
-        # One bit apart: the key is one of the two.
-        there = F.max(F.when(F.col("fp") == F.col("key"), F.col("key"))).over(Window.partitionBy("key"))
-        pairs = keys.select(there.alias("u"), F.col("fp").alias("v")).where("u is not null and u <> v")
+        crowded = probes.join(hot, ["seg", "key"], "left_semi").select("fp").distinct()  # a radius-0 probe is the member itself
+        nested = _nested(crowded, max_distance)
+        table = table.join(hot, ["seg", "key"], "left_anti")
+    met = probes.join(table.withColumnRenamed("fp", "v"), ["seg", "key"]).select(F.col("fp").alias("u"), "v")
+    pairs = met.where("u <> v") if nested is None else met.where("u <> v").unionByName(nested)
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_distance)
 
 
+def _classes(df: DataFrame, id_col: str, text_col: str, max_distance: int, words_per_shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(_id, _hash, fingerprint of each row; fp, head: the least (_id, _hash) of the fingerprint's class, null ids last)."""
+    named = df.select(F.struct(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")).alias("_key"), F.col(text_col).alias("_text"))
+    prints = written(fingerprints(named, "_key", "_text", words_per_shingle).select("_key.*", "fingerprint"))
+    place = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_hash")
+    distinct = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(place).alias("least"))
+    roots = components(links(distinct.select("fp"), max_distance))
+    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    first = placed.groupBy("root").agg(F.min("least").alias("head"))
+    return prints, placed.select("fp", "root").join(first, "root").select("fp", "head")
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 2, words_per_shingle: int = 3
 ) -> DataFrame:
@@ -93,24 +146,22 @@ def near_duplicates(
     all ids of a class are null).  Null and empty texts have fingerprint zero, linked like any other.
     An empty table gives an empty result; other columns of ``df`` are ignored.
     """
-    prints = checkpoint(fingerprints(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", words_per_shingle))
-    distinct = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("_id").alias("least"))
-    roots = components(links(distinct.select("fp"), max_distance))
-    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.select("fp", "root").join(first, "root").select("fp", "component_id")
+    prints, named = _classes(df, id_col, text_col, max_distance, words_per_shingle)
     return prints.join(named, F.col("fingerprint") == F.col("fp")).select(
-        F.col("_id").alias(id_col), hex64(F.col("fingerprint")).alias("fingerprint"), "component_id"
+        F.col("_id").alias(id_col), hex64(F.col("fingerprint")).alias("fingerprint"), F.col("head._id").alias("component_id")
     )
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 2, words_per_shingle: int = 3) -> DataFrame:
     """``df`` with one document of each near-duplicate class: the one with the least id.
 
-    Rows that repeat that id and its text keep one row; rows with a null id are never dropped.
+    A document is an id with a text: of two texts under the least id, the one with the lesser hash
+    stays, and the other goes only if it is in the same class.  Rows that repeat the kept id and text
+    keep one row; rows with a null id are never dropped.
     """
-    classes = near_duplicates(df, id_col, text_col, max_distance, words_per_shingle)
-    heads = classes.where(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("_head")).distinct()
-    rows = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
-    stay = rows.where("_id is not null").join(heads, F.col("_id") == F.col("_head"), "left_semi").dropDuplicates(["_id"])
+    prints, named = _classes(df, id_col, text_col, max_distance, words_per_shingle)
+    heads = named.select(F.col("head._id").alias("_hid"), F.col("head._hash").alias("_hhash")).distinct()
+    rows = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
+    at = (F.col("_id") == F.col("_hid")) & (F.col("_hash") == F.col("_hhash"))
+    stay = rows.where("_id is not null").join(heads, at, "left_semi").dropDuplicates(["_id", "_hash"])
     return stay.unionByName(rows.where("_id is null")).select("_row.*")

@@ -55,7 +55,7 @@ def test_components(spark):
     ids = [100 - i for i in range(len(texts))]
     df = docs(spark, texts, ids=ids)
     prints = {i: plain_print(t or "") for i, t in zip(ids, texts, strict=True)}
-    for radius in (0, 1, 2):
+    for radius in (0, 1, 2, 3):
         got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(df, max_distance=radius).collect()}
         want = classes(prints, radius)
         assert got == {i: (f"{prints[i]:016x}", want[i]) for i in ids}
@@ -64,30 +64,47 @@ def test_components(spark):
     assert kept == set(classes(prints, 2).values())
 
 
-def test_links_lose_nothing(spark):
-    rng = random.Random(5)
+def prints_of(rng: random.Random, groups: int) -> set[int]:
     values = set()
-    for _ in range(40):
+    for _ in range(groups):
         v = rng.getrandbits(64)
         for _ in range(6):
             values.add(v)
             for _ in range(rng.randrange(1, 4)):
                 v ^= 1 << rng.randrange(64)
-    # A hot cluster: every value one bit from a centre, all equal in three of the four segments.
-    values |= {(1 << 40) | (1 << b) for b in range(16)}
+    # A crowded value: all equal in the upper half, one or more bits apart in the lower.
+    return values | {(1 << 40) | rng.getrandbits(32) for _ in range(300)} | {(1 << 40) | (1 << b) for b in range(16)}
+
+
+@pytest.mark.parametrize(("distance", "segments", "bucket"), [(2, 2, 256), (2, 2, 10), (2, 4, 256), (1, 2, 4), (3, 2, 1000), (3, 2, 20), (4, 4, 10)])
+def test_links_lose_nothing(spark, distance, segments, bucket):
+    values = prints_of(random.Random(5), 40)
     by_id = dict(enumerate(sorted(values)))
-    signed = [(v - (v >> 63 << 64),) for v in values]
-    df = spark.createDataFrame(signed, "fp long")
-    pairs = simhash.links(df)
+    df = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
+    pairs = simhash.links(df, distance, segments, bucket)
     roots = {r["node"] % 2**64: r["root"] % 2**64 for r in graph.components(pairs).collect()}
     got = {}
     for i, v in by_id.items():
         got.setdefault(roots.get(v, v), set()).add(i)
     want = {}
-    for i, c in classes(by_id, 2).items():
+    for i, c in classes(by_id, distance).items():
         want.setdefault(c, set()).add(i)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
-    assert pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > 2).count() == 0
+    assert pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > distance).count() == 0
+    if bucket > 300:  # without crowded values every pair within the distance is a link
+        flat = sorted(values)
+        every = {(a, b) for i, a in enumerate(flat) for b in flat[i + 1 :] if bin(a ^ b).count("1") <= distance}
+        assert {tuple(sorted((r["u"] % 2**64, r["v"] % 2**64))) for r in pairs.collect()} == every
+
+
+def test_segments_have_tables_with_balls():
+    assert simhash.radii(2, 2) == [1, 0] and simhash.radii(2, 4) == [0, 0, 0, -1] and simhash.radii(3, 2) == [1, 1] and simhash.radii(5, 4) == [1, 1, 0, 0]
+    assert len(simhash.ball(0, 32, 1)) == 33 and len(simhash.ball(32, 64, 0)) == 1 and len(simhash.ball(0, 16, 2)) == 137
+
+
+def test_one_id_with_two_texts_keeps_both(spark):
+    df = docs(spark, ["alpha beta gamma delta", "wholly other words than those", "alpha beta gamma delta"], ids=[1, 1, 2])
+    assert sorted(r["text"] for r in simhash.keep_one(df).collect()) == ["alpha beta gamma delta", "wholly other words than those"]
 
 
 def test_chain_and_star_components(spark):
