@@ -47,6 +47,11 @@ def count_tokens(s: str) -> int:
     return sum(1 for _ in _TOKEN.finditer(s))
 
 
+def turn_tokens(role: str, text: str, counter=count_tokens) -> int:
+    """Tokens of a whole turn: its role, its text and two for the marks around it, so never none."""
+    return 2 + counter(role) + counter(text)
+
+
 class _Conversation:
     """Turns one conversation's stream of turns into windows."""
 
@@ -114,7 +119,7 @@ def format_chat(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, cou
     (spans in code points, end exclusive, of the new assistant texts).  A window holds turns up to
     ``budget`` tokens, or one longer turn alone with the system turn; nothing is cut.  A leading
     system turn and up to ``history`` turns that fit are repeated without loss.  Null roles and texts
-    are empty; turns sort by (turn, role, text), nulls first; repeated rows are turns of their own;
+    are empty; a turn's tokens are those of its role, its text and its two marks; turns sort by (turn, role, text), nulls first; repeated rows are turns of their own;
     rows of a null conv_id are one conversation; other columns are ignored.
     """
     kind = df.schema["conv_id"].dataType.simpleString()
@@ -135,7 +140,7 @@ def format_chat(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, cou
                     if talk and (w := talk.end()):
                         out.append({"conv_id": current, **w})
                     current, talk, began = conv, _Conversation(budget, history), True
-                if w := talk.add(role, text, counter(text)):
+                if w := talk.add(role, text, turn_tokens(role, text, counter)):
                     out.append({"conv_id": current, **w})
                 size += len(text)
                 if size > 1 << 24 and out:

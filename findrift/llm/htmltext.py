@@ -244,8 +244,10 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep
 
     Text inside a block has its white space turned into single spaces; blocks are joined by one line
     feed; nothing else is dropped or cut.  Null, empty and text-free pages give an empty text.  One
-    output row per input row, repeated rows included; other columns are ignored.
+    output row per input row, repeated rows included; a kept column named text or n_chars gives way to
+    the output; other columns are ignored.
     """
+    keep = tuple(c for c in keep if c.lower() not in ("text", "n_chars", id_col.lower()))
     names = [id_col, *keep, "text", "n_chars"]
     n = len(keep) + 1
 

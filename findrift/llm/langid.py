@@ -26,7 +26,8 @@ from .common import slices
 DIMS = 4096
 #: Labelled rows that are fitted, over all languages; each gives its whole text and a short piece of it.
 SAMPLE_ROWS = 1000
-MAX_LANGUAGES = 200
+#: Sampled rows of a language, however many languages there are.
+LEAST_ROWS = 5
 RIDGE = 0.05
 #: Below this margin between the two best languages' probabilities a text is ambiguous.
 MARGIN = 0.05
@@ -121,9 +122,10 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
         return Model(languages, codes, np.zeros((DIMS, 1), np.float32), np.ones(1, np.float32), np.ones(1, np.float32))
     bias = (target * importance**2).mean(axis=0)
     xs, ys = x * importance, (target - bias) * importance
-    gram = xs @ xs.T
-    alpha = np.linalg.solve(gram + RIDGE * np.eye(len(xs), dtype=np.float32), ys)
-    weights = xs.T @ alpha
+    if len(xs) <= DIMS:
+        weights = xs.T @ np.linalg.solve(xs @ xs.T + RIDGE * np.eye(len(xs), dtype=np.float32), ys)
+    else:  # the same solution in the space of the features
+        weights = np.linalg.solve(xs.T @ xs + RIDGE * np.eye(DIMS, dtype=np.float32), xs.T @ ys)
     agree = (np.sign(x @ weights + bias) == target).mean(axis=0)
     return Model(languages, codes, weights.astype(np.float32), bias.astype(np.float32), np.maximum(2 * agree - 1, 0.05).astype(np.float32))
 
@@ -136,21 +138,19 @@ def held_out(id_col: Column) -> Column:
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Fits on rows that aren't held out and have a language; None where there is none.
 
-    The sample takes ids by a hash, as many for every language, at most ``sample_rows`` in all and at
-    least 5 a language (200 languages at most, the most frequent ones).
+    Every language that has training rows is learned.  The sample takes ids by a hash, as many for every
+    language: ``sample_rows`` over the number of languages, or LEAST_ROWS where that is more.
     """
     light = df.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang")).where(
         F.col("_lang").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id"))
     )
-    found = light.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(MAX_LANGUAGES).collect()
+    found = light.select("_lang").distinct().count()
     if not found:
         return None
-    each = max(5, sample_rows // len(found))
+    each = max(LEAST_ROWS, sample_rows // found)
     w = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = (
-        light.where(F.col("_lang").isin([r["_lang"] for r in found])).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= each).select("_id", "_lang").distinct()
-    )
-    ids = chosen.collect()  # at most sample_rows, or 5 a language
+    chosen = light.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= each).select("_id", "_lang").distinct()
+    ids = chosen.collect()  # at most sample_rows, or LEAST_ROWS a language
     if not ids:
         return None
     spark = df.sparkSession
@@ -191,14 +191,17 @@ def identify(
     text_col: str = "text",
     keep: tuple[str, ...] = (),
     margin: float = MARGIN,
+    outputs: tuple[str, str, str] = ("lang_pred", "score", "ambiguous"),
 ) -> DataFrame:
-    """The language of every whole text: ``id_col``, ``keep``, lang_pred, score, ambiguous.
+    """The language of every whole text: ``id_col``, ``keep``, and ``outputs``: language, score, ambiguous or not.
 
     score is the winning language's probability, 0 to 1.  Null texts, texts without a letter, and all
     texts under no model are ``und`` with score 0, not ambiguous.  One output row per input row;
-    ``keep`` names further columns to pass through, the text among them if wanted.
+    ``keep`` names further columns to pass through, the text among them if wanted; a kept column with
+    the name of an output gives way to it.
     """
-    names = [id_col, *keep]
+    taken = {c.lower() for c in outputs}
+    names = [c for c in dict.fromkeys([id_col, *keep]) if c == id_col or c.lower() not in taken]
     more = [] if text_col in names else [text_col]
     at_text = [*names, *more].index(text_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -217,11 +220,11 @@ def identify(
                     score[at], unsure[at] = p, gap < margin
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score.astype(float), pa.float64()), pa.array(unsure, pa.bool_())],
-                names=[*names, "lang_pred", "score", "ambiguous"],
+                names=[*names, *outputs],
             )
 
     schema = T.StructType(
-        [*[T.StructField(c, df.schema[c].dataType) for c in names], T.StructField("lang_pred", T.StringType()),
-         T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+        [*[T.StructField(c, df.schema[c].dataType) for c in names], T.StructField(outputs[0], T.StringType()),
+         T.StructField(outputs[1], T.DoubleType()), T.StructField(outputs[2], T.BooleanType())]
     )
     return df.select(*names, *more).mapInArrow(run, schema)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import slices
 
@@ -23,7 +24,6 @@ WIDTH, CHANNELS = 64, 3
 STRIDE = WIDTH * CHANNELS
 GRID, LOW = 32, 8
 
-MEDIA_SCHEMA = "{id} bigint, n_bytes bigint, media binary, feature binary"
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -158,7 +158,8 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """Every whole text as a PNG: ``id_col``, n_bytes, media (the PNG), feature (8 bytes).
 
     A null text is an empty text, an empty text is one row of spaces; equal texts give equal values;
-    one output row per input row; other columns are ignored.
+    one output row per input row, null and repeated ids included, ids of any type; other columns are
+    ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +176,8 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 names=[id_col, "n_bytes", "media", "feature"],
             )
 
-    return df.select(df[id_col].cast("long").alias(id_col), text_col).mapInArrow(run, MEDIA_SCHEMA.format(id=id_col))
+    more = [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), T.StructField("feature", T.BinaryType())]
+    return df.select(id_col, text_col).mapInArrow(run, T.StructType([df.schema[id_col], *more]))
 
 
 def digest(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -193,11 +195,9 @@ def digest(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]],
                                              names=[id_col, *NAMES])
 
-    return stored.select(id_col, "n_bytes", "media", "feature").mapInArrow(
-        run,
-        f"{id_col} bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, "
-        "media_bytes bigint, media_sha256 string, feature string",
-    )
+    kinds = [T.LongType(), T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.StringType()]
+    schema = T.StructType([stored.schema[id_col], *[T.StructField(n, k) for n, k in zip(NAMES, kinds, strict=True)]])
+    return stored.select(id_col, "n_bytes", "media", "feature").mapInArrow(run, schema)
 
 
 NAMES = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -8,6 +8,8 @@ then shuffled over all partitions by a hash.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +90,8 @@ def mix(
     The expected rows of a source are its share of ``total``; see ``rates``.  Rows of the same id get
     the same number of copies (the draw is the id's); null ids share one draw, null sources are one
     source.  ``copy_col`` numbers a row's copies from 0; ``shuffle`` spreads all copies over all
-    partitions in an order set by a hash.  An empty table gives an empty result.
+    partitions in an order set by a hash of the whole row.  A column named as ``copy_col`` gives way to
+    it; other columns pass through.  An empty table gives an empty result.
     """
     per_source = rates(df, weights, source_col, total, alpha).select("_source", "parts", "cdf")
     rows = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_src"))
@@ -109,6 +112,8 @@ def mix(
     counted = joined.select("_row", "_id", copies.alias("_n")).where("_n > 0")
     many = counted.select("_row", "_id", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
     if shuffle:
-        many = many.withColumn("_at", F.xxhash64(F.lit(seed), "_id", "_copy")).repartition(spread(df), "_at").sortWithinPartitions("_at")
-    cols = [F.col("_row")[c].alias(c) for c in df.columns]
+        # Rows that share an id, or have none, must not share a partition.
+        own = [F.col("_row")[f.name] for f in df.schema if not {"map", "variant"} & set(re.findall("[a-z]+", f.dataType.simpleString()))]
+        many = many.withColumn("_at", F.xxhash64(F.lit(seed), "_id", "_copy", *own)).repartition(spread(df), "_at").sortWithinPartitions("_at")
+    cols = [F.col("_row")[c].alias(c) for c in df.columns if copy_col is None or c.lower() != copy_col.lower()]
     return many.select(*cols, *([F.col("_copy").cast("long").alias(copy_col)] if copy_col else []))

@@ -25,6 +25,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"
 SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
+#: Long hexadecimal values and two well-known forms of access keys.
+SECRET = r"\b(?:[0-9A-Fa-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36})\b"
 
 #: How far before a span its context words may stand, in code points.
 CONTEXT_CHARS = 40
@@ -91,57 +93,73 @@ KINDS = (
     Kind("card", CARD, r"[0-9](?:[\x20-]?[0-9]){12}", lambda m: F.when(F.length(_digits(m)).between(13, 19), luhn(_digits(m))).otherwise(False),
          True, 80, r"(?i)card|visa|credit|karte|tarjeta|carte"),
     Kind("phone", PHONE, r"\+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), True, 60, r"(?i)phone|call|tel|fax|mobil"),
-    Kind("iban", IBAN, r"[A-Z]{2}[0-9]{2}", mod97, False, 80, r"(?i)iban|bank|account|konto|cuenta|compte"),
+    Kind("iban", IBAN, r"[A-Z]{2}[0-9]{2}", mod97, False, 60, r"(?i)iban|bank|account|konto|cuenta|compte"),
     Kind("ssn", SSN, r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
          lambda m: ~F.substring(m, 1, 3).isin("000", "666") & (F.substring(m, 1, 1) != "9") & (F.substring(m, 5, 2) != "00")
          & (F.substring(m, 8, 4) != "0000"), False, 40, r"(?i)ssn|social|security"),
+    Kind("secret", SECRET, r"[0-9A-Fa-f]{32}|AKIA|gh[pousr]_", lambda m: F.lit(True), False, 40, r"(?i)token|secret|key|passw|credential|auth|bearer"),
 )
 
 
-def _located(text: Column, kind: Kind) -> Column:
-    """All matches, valid or not: array<struct<start, end, match>>, offsets in code points."""
-    pieces = F.split(text, kind.pattern, -1)
+#: Blocks of so many matches keep the growing arrays short: the cost stays near linear in the matches.
+BLOCK = 512
+
+
+def _taken(text: Column, kind: Kind) -> list[Column]:
+    """_p_KIND, the pieces between the matches, and _f_KIND, the matches, valid or not; null where there can't be any."""
+    gate = F.contains(text, F.lit(kind.gate)) if kind.gate == "@" else text.rlike(kind.gate)
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    # Blocks of 512 matches keep the growing arrays short: the cost stays near linear in the matches.
-    block = 512
+    return [F.when(gate, F.split(text, kind.pattern, -1)).alias(f"_p_{kind.name}"), F.when(gate, found).alias(f"_f_{kind.name}")]
+
+
+def _located(kind: Kind) -> Column:
+    """All matches: array<struct<start, end, match, before>>, offsets in code points.
+
+    Pieces and matches must be columns by now: a lambda evaluates what stands in it again for every match.
+    ``before`` ends the piece before the match.
+    """
+    pieces, found = F.col(f"_p_{kind.name}"), F.col(f"_f_{kind.name}")
 
     def one(acc: Column, i: Column) -> Column:
         start = acc["at"] + F.length(F.get(pieces, i))
         end = start + F.length(F.get(found, i))
-        return F.struct(
-            end.alias("at"),
-            F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("match")))).alias("out"),
-        )
+        before = F.right(F.get(pieces, i), F.lit(CONTEXT_CHARS))
+        span = F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("match"), before.alias("before"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    kind_of = "array<struct<start:int,end:int,match:string>>"
-    empty = F.from_json(F.lit("[]"), kind_of)
+    empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,match:string,before:string>>")
 
     def many(acc: Column, b: Column) -> Column:
-        last = F.least(b * block + block, F.size(found)) - 1
-        inner = F.aggregate(F.sequence(b * block, last), F.struct(acc["at"].alias("at"), empty.alias("out")), one)
-        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], inner["out"]).alias("out"))
+        last = F.least(b * BLOCK + BLOCK, F.size(found)) - 1
+        inner = F.aggregate(F.sequence(b * BLOCK, last), F.struct(acc["at"].alias("at"), empty.alias("out")), one)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
 
-    blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / block).cast("int"))
-    all_ = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), empty.alias("out")), many)["out"]
+    blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int"))
+    none = F.from_json(F.lit("[]"), "array<array<struct<start:int,end:int,match:string,before:string>>>")
+    all_ = F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), many)["out"])
     return F.when(F.size(found) > 0, all_)
 
 
-def _scored(text: Column, kind: Kind) -> Column:
+def _scored(located: Column, kind: Kind) -> Column:
     """Valid spans of a kind with their scores; an empty array where there is none."""
+    valid = F.filter(located, lambda x: kind.valid(x["match"]))
 
-    def score(x: Column) -> Column:
-        begin = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-        before = F.substring(text, begin + 1, x["start"] - begin)
-        return F.lit(kind.score) + F.when(before.rlike(kind.words), 20).otherwise(0)
+    def shown(x: Column) -> Column:
+        score = F.lit(kind.score) + F.when(x["before"].rlike(kind.words), 20).otherwise(0)
+        return F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score.alias("score"))
 
-    gate = F.contains(text, F.lit(kind.gate)) if kind.gate == "@" else text.rlike(kind.gate)
-    valid = F.filter(_located(text, kind), lambda x: kind.valid(x["match"]))
-    spans = F.transform(
-        valid, lambda x: F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score(x).alias("score"))
-    )
+    spans = F.transform(valid, shown)
     if not kind.base:
         spans = F.filter(spans, lambda x: x["score"] >= THRESHOLD)
-    return F.coalesce(F.when(gate, spans), F.from_json(F.lit("[]"), "array<struct<kind:string,start:int,end:int,score:int>>"))
+    return F.coalesce(spans, F.from_json(F.lit("[]"), "array<struct<kind:string,start:int,end:int,score:int>>"))
+
+
+def _spans(df: DataFrame, keep: list[Column], text: Column) -> DataFrame:
+    """``keep`` and the spans of every kind, in columns of the kinds' names."""
+    own = [c.alias(f"_k_{i}") for i, c in enumerate(keep)]
+    taken = df.select(*own, *[c for k in KINDS for c in _taken(text, k)])
+    located = taken.select(*[f"_k_{i}" for i in range(len(keep))], *[_located(k).alias(f"_l_{k.name}") for k in KINDS])
+    return located.select(*[f"_k_{i}" for i in range(len(keep))], *[_scored(F.col(f"_l_{k.name}"), k).alias(k.name) for k in KINDS])
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,13 +167,13 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Returns ``id_col``, and per kind an array ``<kind>`` of struct<kind, start, end, score>; offsets
     are code points, end exclusive.  Kinds email, ip, card and phone are always reported where valid;
-    iban (mod 97) and ssn are added where their score, raised by context words in the 40 code points
-    before, reaches 60.  One output row per input row, repeated rows and ids included; a null text is
-    an empty text; an empty table gives an empty result; other columns of ``df`` are ignored.
+    iban (mod 97), ssn and secret are added where their score reaches 60, raised by context words in the
+    40 code points before, as far as the previous match of the kind.  One output row per input row,
+    repeated rows and ids included; a null text is an empty text; an empty table gives an empty result;
+    other columns of ``df`` are ignored.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = df.select(F.col(id_col), text.alias("_text"))
-    return base.select(F.col(id_col), *[_scored(F.col("_text"), k).alias(k.name) for k in KINDS])
+    done = _spans(df, [F.col(id_col)], F.coalesce(F.col(text_col), F.lit("")))
+    return done.select(F.col("_k_0").alias(id_col), *[k.name for k in KINDS])
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -163,9 +181,10 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     Where spans overlap, the one that starts first (then the longer) wins.  Null texts stay null.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    spans = _spans(df, [F.struct("*")], F.coalesce(F.col(text_col), F.lit("")))
+    text = F.col("_text")
     found = F.array_sort(
-        F.concat(*[_scored(text, k) for k in KINDS]),
+        F.concat(*[F.col(k.name) for k in KINDS]),
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]),
     )
 
@@ -176,10 +195,12 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
         )
 
     done = F.aggregate(
-        found, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), cut,
+        "_found", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), cut,
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    return df.withColumn(text_col, F.when(F.col(text_col).isNotNull(), done))
+    flat = spans.select("_k_0", F.coalesce(F.col("_k_0")[text_col], F.lit("")).alias("_text"), found.alias("_found"))
+    own = F.when(F.col("_k_0")[text_col].isNotNull(), done)
+    return flat.select(*[(own if c == text_col else F.col("_k_0")[c]).alias(c) for c in df.columns])
 
 
 def _joined(arrays: list[Column]) -> Column:
@@ -195,4 +216,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         *[F.size(n).cast("long").alias(f"n_{n}") for n in base],
         F.sha2(_joined([F.col(n) for n in base]).cast("binary"), 256).alias("base_sha256"),
         _joined([F.col(k.name) for k in KINDS]).alias("spans"),
+        *[F.size(k.name).cast("long").alias(f"n_{k.name}") for k in KINDS if not k.base],
+        F.size(F.concat(*[F.col(k.name) for k in KINDS])).cast("long").alias("n_spans"),
+        F.array_join(F.transform(F.concat(*[F.col(k.name) for k in KINDS]), lambda x: x["score"].cast("string")), ",").alias("scores"),
     )

@@ -67,6 +67,27 @@ def test_added_kinds_need_checksum_or_context(found):
     assert found[14]["spans"].count("ssn") == 2  # the second by its context, the third has none
 
 
+def test_secrets_and_scores(spark):
+    hexa = "0123456789abcdef" * 2
+    df = docs(spark, [f'token = "{hexa}"', f"checksum {hexa}", "mail me: a@b.co"])
+    got = {r["doc_id"]: r for r in pii.digest(pii.find_pii(df)).collect()}
+    assert (got[0]["spans"], got[0]["n_secret"], got[0]["scores"]) == ("secret:9:41", 1, "60")
+    assert (got[1]["spans"], got[1]["n_spans"]) == ("", 0)
+    assert (got[2]["spans"], got[2]["scores"]) == ("email:9:15", "100")
+
+
+def test_many_matches_in_one_text(spark):
+    """100,000 matches in one text of 2.4 MB, linear in the matches."""
+    import time
+
+    text = "".join(f"a{i}@b.co 1.2.3.{i % 256} " for i in range(50_000))
+    began = time.time()
+    got = pii.digest(pii.find_pii(docs(spark, [text, "x"]))).orderBy("doc_id").collect()
+    assert time.time() - began < 60
+    assert got[0]["base_sha256"] == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest()
+    assert (got[0]["n_email"], got[0]["n_ip"]) == (50_000, 50_000)
+
+
 def test_random_texts(spark):
     texts = []
 
