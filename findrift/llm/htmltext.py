@@ -1,16 +1,21 @@
 """Main text of web pages: parser events, text-to-tag ratios, smoothing and clustering.
 
-The standard library's streaming parser turns a page into lines (blocks), each with the path of open
-elements.  A line's ratio is its text length per tag; the ratios are smoothed with a Gaussian and
-split by a threshold, which clusters lines into content and the rest.  The content lines choose the
-region: the common ancestor of all of them, or of all ``article`` and ``main`` elements where those
-hold enough, with headings and paragraphs beside it.  All of that region's lines are then kept, short ones too, except those inside elements that by tag, role or
-class are menus, headers, footers, sidebars, notices, adverts, forms or comments.
+The standard library's streaming parser turns a page into lines (blocks), each with its element.  Lines
+inside elements that by tag, role or class are menus, headers, footers, sidebars, notices, adverts,
+forms or comments go first.  A line's ratio is its text length per tag; the ratios are smoothed with a
+Gaussian and split by a threshold, which clusters the lines into content and the rest.  The content
+lines choose the region: the common ancestor of all ``article`` and ``main`` elements where those hold
+enough of the content, else that of the content lines, with headings and paragraphs beside it.
+
+Where the page marks its article, all of the region's lines are kept, short ones too.  Where it does not,
+the cluster decides on the lines: link lists outside it go, and so do divisions of the region in which
+no line is content.  Every step is linear in the page, however deep or broken its markup.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -47,43 +52,52 @@ CONTAINERS = ("article", "main")
 #: Elements that are too small to be a region, and headings, which belong to a region beside them.
 LEAVES = frozenset("p li td th tr h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that say nothing of what they hold.
+DIVISIONS = frozenset("div section center td tr table tbody span a b i em strong small font".split())
 
 
 class _Lines(HTMLParser):
-    """Collects lines: [text parts, tags, path of element numbers]."""
+    """Collects lines: (text, tags, element number, linked characters); elements count in page order."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int]] = [("", 0)]
-        self.parent, self.tag, self.bad, self.depth = [-1], [""], [False], [0]
-        self.lines: list[tuple[str, int, int]] = []
+        self.places: dict[str, list[int]] = {}  # where in the stack a name is open
+        self.blocks: list[int] = []  # where in the stack blocks are open
+        self.parent, self.tag, self.bad = [-1], [""], [False]
+        self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
-        self.tags = 0
-        self.home = 0
+        self.tags = self.home = self.linked = 0
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.home))
+            self.lines.append((text, self.tags, self.home, self.linked))
             self.tags = 0
-        self.parts = []
-
-    def _close(self, names: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            name = self.stack[i][0]
-            if name in names:
-                self._end_line()
-                del self.stack[i:]
-                return
-            if name in stop:
-                return
+        self.parts, self.linked = [], 0
+
+    def _cut(self, at: int) -> None:
+        """Closes the elements from ``at`` in the stack on."""
+        for name, _ in self.stack[at:]:
+            self.places[name].pop()
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
+        del self.stack[at:]
+
+    def _close(self, names: set[str], stop: set[str]) -> None:
+        """Closes the innermost element of ``names``, unless one of ``stop`` is open inside it."""
+        last = lambda group: max((self.places[n][-1] for n in group if self.places.get(n)), default=-1)
+        at = last(names)
+        if at > last(stop):
+            self._end_line()
+            self._cut(at)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self._end_line()
-            if self.stack[-1][0] == "p" or any(n == "p" for n, _ in self.stack[-4:]):
-                self._close({"p"}, BLOCKS - {"p"})
+            if self.blocks and self.stack[self.blocks[-1]][0] == "p":
+                self._cut(self.blocks[-1])
             if tag in SAME:
                 self._close(SAME[tag], SAME_STOP[tag])
         elif tag == "br":
@@ -93,8 +107,10 @@ class _Lines(HTMLParser):
         above = self.stack[-1][1]
         self.parent.append(above)
         self.tag.append(tag)
-        self.depth.append(self.depth[above] + 1)
         self.bad.append(self.bad[above] or unwanted(tag, attrs))
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
         self.stack.append((tag, len(self.tag) - 1))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -104,15 +120,15 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self._end_line()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                if any(n in BLOCKS for n, _ in self.stack[i:]):
-                    self._end_line()
-                if tag not in BLOCKS and any(n in BLOCKS for n, _ in self.stack[i + 1 :]):
-                    return  # a stray inline end tag does not close the blocks inside
-                # Inline elements left open inside a closed block end with it.
-                del self.stack[i:]
-                return
+        if not self.places.get(tag):
+            return
+        at = self.places[tag][-1]
+        if self.blocks and self.blocks[-1] >= at:
+            self._end_line()
+            if tag not in BLOCKS:
+                return  # a stray inline end tag does not close the blocks inside
+        # Inline elements left open inside a closed block end with it.
+        self._cut(at)
 
     def handle_data(self, data: str) -> None:
         if self.stack[-1][0] in ("script", "style"):
@@ -127,6 +143,8 @@ class _Lines(HTMLParser):
             self.home = self.stack[-1][1]
         if self.parts or not data.isspace():
             self.parts.append(data)
+            if self.places.get("a"):
+                self.linked += len(data.strip())
 
     def close(self) -> None:
         super().close()
@@ -183,60 +201,88 @@ def main_text(html: str | None) -> str:
     lines = [x for x in page.lines if not page.bad[x[2]]]
     if not lines:
         return ""
-    lengths = np.array([len(t) for t, _, _ in lines])
-    tags = np.array([n for _, n, _ in lines])
-    picked = long_lines(lengths, tags, content_lines(lengths, tags))
-    weight: dict[int, int] = {}
-    for (_, _, home), n in zip(lines, np.where(picked, lengths, 0).tolist(), strict=True):
-        at = home
-        while at >= 0 and n:
-            weight[at] = weight.get(at, 0) + n
-            at = page.parent[at]
-    total = weight.get(0, 0)
-    root = _region(page, lines, weight, total)
-    return "\n".join(t for t, _, home in lines if _inside(page.parent, home, root))
-
-
-def _region(page: _Lines, lines: list[tuple[str, int, int]], weight: dict[int, int], total: int) -> int:
-    """The element that holds the content: the common ancestor of all articles and mains with text, or of all content lines.
+    lengths = np.array([len(x[0]) for x in lines])
+    tags = np.array([x[1] for x in lines])
+    picked = content_lines(lengths, tags)
+    strong = long_lines(lengths, tags, picked)
+    weight = [0] * len(page.parent)
+    for x, n in zip(lines, np.where(strong, lengths, 0).tolist(), strict=True):
+        weight[x[2]] += n
+    last = list(range(len(page.parent)))
+    for i in range(len(page.parent) - 1, 0, -1):
+        above = page.parent[i]
+        weight[above] += weight[i]
+        last[above] = max(last[above], last[i])
+    root, marked = _region(page, lines, weight, last)
+    inside = [root <= x[2] <= last[root] for x in lines]
+    keep = inside if marked else [a and b for a, b in zip(inside, _clustered(page, lines, root, picked, strong), strict=True)]
+    return "\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
+
+
+def _region(page: _Lines, lines: list[tuple[str, int, int, int]], weight: list[int], last: list[int]) -> tuple[int, bool]:
+    """The element that holds the content, and whether the page marks it: the common ancestor of all articles and mains with text, or of all content lines.
 
     Articles and mains count where they hold 0.4 of the content; headings and paragraphs beside the
     region widen it to the element around them (headings only, where that is the body).
     """
-
-    def above(at: int) -> list[int]:
-        path = []
-        while at >= 0:
-            path.append(at)
-            at = page.parent[at]
-        return path
-
-    outer = [i for i in weight if page.tag[i] in CONTAINERS and not any(page.tag[j] in CONTAINERS for j in above(page.parent[i]))]
-    held = sum(weight[i] for i in outer)
-    if outer and held >= 0.4 * total:
-        paths = [set(above(i)) for i in outer]
-        root = max(set.intersection(*paths))
+    outer, own, head = [], [False] * len(page.parent), [0] * len(page.parent)
+    near = [0] * len(page.parent)  # the innermost heading or paragraph around
+    for i in range(1, len(page.parent)):
+        above, tag = page.parent[i], page.tag[i]
+        own[i] = own[above] or tag in CONTAINERS
+        if own[i] and not own[above] and weight[i]:
+            outer.append(i)
+        head[i] = i if tag in HEADINGS else head[above]
+        near[i] = i if tag in HEADINGS or tag == "p" else near[above]
+    marked = bool(outer) and sum(weight[i] for i in outer) >= 0.4 * weight[0]
+    if marked:
+        root = outer[0]
+        while last[root] < outer[-1]:
+            root = page.parent[root]
     else:
-        root = max((i for i, w in weight.items() if w == total), default=0)
+        root = max((i for i, w in enumerate(weight) if w == weight[0]), default=0)
     while root > 0 and page.tag[root] not in BLOCKS or page.tag[root] in LEAVES:
         root = page.parent[root]
+    homes = sorted(x[2] for x in lines)
+    lo, hi = bisect_left(homes, root), bisect_right(homes, last[root])
     while root > 0 and page.tag[root] not in ("main", "body", "html"):
-        parent, beside = page.parent[root], False
-        for _, _, home in lines:
-            path = above(home)
-            if root not in path and parent in path:
-                below = [page.tag[i] for i in path[: path.index(parent)]]
-                beside |= any(t in HEADINGS for t in below[-1:]) if page.tag[parent] in ("body", "html", "") else any(t in HEADINGS or t == "p" for t in below)
-        if not beside:
+        parent = page.parent[root]
+        wide_lo, wide_hi = bisect_left(homes, parent), bisect_right(homes, last[parent])
+        beside = homes[wide_lo:lo] + homes[hi:wide_hi]  # each line is beside the region once
+        if page.tag[parent] in ("body", "html", ""):
+            found = any(head[h] and page.parent[head[h]] == parent for h in beside)
+        else:
+            found = any(near[h] > parent for h in beside)
+        if not found:
             break
-        root = parent
-    return root
+        root, lo, hi = parent, wide_lo, wide_hi
+    return root, marked
 
 
-def _inside(parent: list[int], at: int, root: int) -> bool:
-    while at > root:
-        at = parent[at]
-    return at == root
+def _clustered(page: _Lines, lines: list[tuple[str, int, int, int]], root: int, picked: np.ndarray, strong: np.ndarray) -> list[bool]:
+    """Which lines of an unmarked region stay: by the cluster, so far as a paragraph or heading doesn't speak for them.
+
+    A line of which 0.8 is link text stays only if it is content itself; text right in the region stays
+    if it is in the cluster; a division of the region stays if it has a content line, a paragraph or a
+    heading.
+    """
+    branch, held = [0] * len(page.parent), set()
+    for i in range(root + 1, len(page.parent)):
+        above = page.parent[i]
+        branch[i] = i if above == root else branch[above] if above > root else 0
+        if page.tag[i] in HEADINGS or page.tag[i] == "p":
+            held.add(branch[i])
+    held |= {branch[x[2]] for x, k in zip(lines, strong, strict=True) if k}
+    out = []
+    for (text, _, home, linked), soft, own in zip(lines, picked.tolist(), strong.tolist(), strict=True):
+        of = branch[home]
+        if linked >= 0.8 * len(text) and not own:
+            out.append(False)
+        elif not of:
+            out.append(soft)
+        else:
+            out.append(page.tag[of] not in DIVISIONS or of in held)
+    return out
 
 
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from findrift.llm import bpe
 from findrift.llm.queries import vocabulary
@@ -22,9 +23,9 @@ def library():
     return t
 
 
-def check(spark, library, texts):
+def check(spark, library, texts, table_words=bpe.TABLE_WORDS):
     path = vocabulary()
-    ids = bpe.encode(docs(spark, texts), path)
+    ids = bpe.encode(docs(spark, texts), path, table_words=table_words)
     got = {r["doc_id"]: r for r in bpe.digest(ids, path).collect()}
     whole = {r["doc_id"]: r["ids"] for r in ids.collect()}
     for i, t in enumerate(texts):
@@ -43,6 +44,22 @@ def test_awkward_texts(spark, library):
     )
 
 
+@pytest.mark.parametrize("table_words", [0, 40])
+def test_words_beyond_the_table(spark, library, table_words):
+    """Words that tasks don't hold go through the join by place; equal texts and repeated words among them."""
+    texts = [f"one two {i % 7}{'x' * i} two<|endoftext|> one, {i}" for i in range(60)] + ["one two 00 two<|endoftext|>"] * 3 + [None, "", "\U00031350 z", "long" * 40 + " b " + "long" * 40]
+    check(spark, library, texts, table_words)
+
+
+def test_every_distinct_word_is_encoded_once(spark):
+    df = docs(spark, ["b a b", "a b a b c", " a"] * 200)
+    words = df.select(bpe.split_words(F.col("text")).alias("_words")).repartition(7)
+    table = bpe.word_table(words, bpe.load(vocabulary())).collect()
+    assert sorted((r["word"], r["n"]) for r in table) == [(" a", 600), (" b", 600), (" c", 200), ("a", 200), ("b", 200)]
+    frequent, complete = bpe.frequent_words(spark.createDataFrame(table), 3)
+    assert (sorted(frequent.column("word").to_pylist()), complete) == ([" a", " b"], False)
+
+
 def test_random_texts(spark, library):
     texts = []
 
@@ -62,5 +79,6 @@ def test_decode(spark):
     cut = spark.createDataFrame([(1, [127, 64]), (2, None)], "doc_id long, ids array<int>")
     assert {r["doc_id"]: r["text"] for r in bpe.decode(cut, path).collect()} == {1: "�a", 2: ""}
     assert bpe.encode(docs(spark, ["x"]).limit(0), path).count() == 0
-    with pytest.raises(ValueError):
-        bpe.encode(docs(spark, ["x"]), path, keep=("ids",))
+    clash = docs(spark, ["x y"]).withColumnsRenamed({"fingerprint": "ids", "lang": "_words", "source": "_key"})
+    got = bpe.encode(clash, path, keep=("doc_id", "ids", "_words", "_key")).collect()
+    assert [r.asDict() for r in got] == [{"doc_id": 0, "_words": "en", "_key": "s", "ids": [87, 331]}]

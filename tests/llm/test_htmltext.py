@@ -77,3 +77,49 @@ WIDE = {
 def test_wide_regions(name):
     html, want = WIDE[name]
     assert htmltext.main_text(page(html)) == want
+
+
+def article(n: int) -> list[str]:
+    return [f"This is paragraph {i} of the article, with enough words in it to stand for real prose and not for a menu." for i in range(n)]
+
+
+def test_the_cluster_decides_where_nothing_is_named():
+    """No article or main, no class names: menus and footers are told by their density alone."""
+    links = [f"<a href='/{i}'>Link {i}</a>" for i in range(12)]
+    body = article(6)
+    prose = "<h2>Title</h2>" + "".join(f"<p>{x}</p>" for x in body)
+    want = "\n".join(["Title", *body])
+    menu = "<div>" + "".join(f"<div>{x}</div>" for x in links) + "</div>"
+    listed = "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>"
+    small = "<div><div>(c) 2024 Somebody</div><div>All rights</div></div>"
+    assert htmltext.main_text(f"<body>{menu}<div>{prose}</div>{small}</body>") == want
+    assert htmltext.main_text(f"<body>{menu}{prose}{small}</body>") == want
+    assert htmltext.main_text(f"<body>{listed}{prose}{listed}{small}</body>") == want
+    assert htmltext.main_text(f"<body><table><tr><td>{listed}</td><td>{prose}</td></tr></table>{small}</body>") == want
+
+
+def test_the_cluster_is_needed(monkeypatch):
+    import numpy as np
+
+    page = "<body><div><div><a href=x>One</a></div><div><a href=y>Two</a></div></div>" + "".join(f"<p>{x}</p>" for x in article(4)) + "<div>(c) me</div></body>"
+    assert htmltext.main_text(page) == "\n".join(article(4))
+    everything = lambda lengths, tags, picked=None: np.ones(len(lengths), bool)
+    monkeypatch.setattr(htmltext, "content_lines", everything)
+    monkeypatch.setattr(htmltext, "long_lines", everything)
+    assert "One" in htmltext.main_text(page) and "(c) me" in htmltext.main_text(page)
+
+
+def test_short_lines_among_paragraphs_stay():
+    body = article(3)
+    page = f"<body><div><p>{body[0]}</p><p>Yes.</p><ul><li>a</li><li>b</li></ul><p>{body[1]} See <a href=x>this page</a>.</p><blockquote>No.</blockquote><p>{body[2]}</p></div></body>"
+    assert htmltext.main_text(page) == "\n".join([body[0], "Yes.", "a", "b", body[1] + " See this page.", "No.", body[2]])
+
+
+def test_deep_and_broken_markup_is_linear():
+    import time
+
+    began = time.time()
+    assert htmltext.main_text("<b>" * 64_000 + "</i>" * 64_000 + "x") == "x"
+    assert htmltext.main_text("<div>" * 64_000 + "text here" + "</div>" * 64_000) == "text here"
+    assert htmltext.main_text("<div><p>a b c" * 32_000).count("\n") == 31_999
+    assert time.time() - began < 20
