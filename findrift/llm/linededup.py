@@ -16,7 +16,6 @@ which adaptive execution splits.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +24,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, slices, written
+from .common import slices, written
 from .words import Words, mix, run_hashes, sliding, text_slices
 
 MIN_WORDS = 50
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PLACE = ["_id", "_hash"]
 
 
@@ -152,68 +150,80 @@ def _equal(a: np.ndarray, b: np.ndarray) -> int:
     return int(off[0]) if len(off) else n
 
 
-def extended(text: str, words: np.ndarray, met: list[dict], min_words: int) -> list[tuple[int, int]]:
-    """The runs of a text (with its words' hashes) to be deleted: its chains extended both ways, where they reach ``min_words``."""
+def _line_ends(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where the line feeds are, each word's line)."""
+    feeds = np.flatnonzero(data == 10)
+    return feeds, np.searchsorted(feeds, starts)
+
+
+def extended(hashes: np.ndarray, line_of: np.ndarray, met: list[dict], min_words: int) -> list[tuple[int, int]]:
+    """The runs of a text (its words' hashes and lines) to be deleted: its chains extended both ways, where they reach ``min_words``."""
     ends: dict[tuple, list[int]] = {}
     for c in met:
         end = ends.setdefault((c["first"], c["last"], c["back"]), [c["first"], c["last"]])
         flank = np.frombuffer(c["flank"], np.uint32)
         if c["after"]:
-            end[1] += _equal(words[c["last"] + 1 : c["last"] + 1 + min_words], flank)
+            end[1] += _equal(hashes[c["last"] + 1 : c["last"] + 1 + min_words], flank)
         else:
-            end[0] -= _equal(words[max(0, c["first"] - min_words) : c["first"]][::-1], flank[::-1])
-    line_end, out = None, []
+            end[0] -= _equal(hashes[max(0, c["first"] - min_words) : c["first"]][::-1], flank[::-1])
+    out = []
     for (_, _, back), (first, last) in ends.items():
         if last - first + 1 < min_words:
             continue
         if back is not None:  # the place before is in the same text
-            line_end = np.cumsum([len(_WORD.findall(x)) for x in text.split("\n")]) if line_end is None else line_end
             kept = first - back + min_words - 1
-            first = max(first, int(line_end[np.searchsorted(line_end, kept, side="right")]))
+            first = max(first, int(np.searchsorted(line_of, line_of[kept], side="right")))
         if first <= last:
             out.append((first, last))
     return out
 
 
-def cut(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without the words of the runs, and how many lines went with them.
+def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """A text (its bytes, and where its words start and end) without the words of the runs, and how many lines went with them.
 
-    A line that loses all its words goes, and so do blank lines inside a run; of a line that loses
-    some, the rest stays, with one space where words went between others.
+    A line that loses all its words goes, and so do blank lines between two lost words; of a line that
+    loses some, the rest stays, with one space where words went between others.
     """
-    lines = text.split("\n")
-    spans = [[m.span() for m in _WORD.finditer(line)] for line in lines]
-    line_of = [i for i, s in enumerate(spans) for _ in s]
-    lost = np.zeros(len(line_of) + 2, np.int64)
+    lost = np.zeros(len(starts) + 1, np.int64)
     for first, last in runs:
-        lost[first + 1] += 1
-        lost[last + 2] -= 1
-    lost = np.cumsum(lost) > 0  # one word on, so that every run has a beginning and an end
-    blank = np.zeros(len(lines) + 1, np.int64)
-    edges = np.flatnonzero(np.diff(np.append(lost, False)))
-    for first, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):  # maximal runs: touching ones are one
-        blank[line_of[first]] += 1
-        blank[line_of[end - 1] + 1] -= 1
-    lost, blank = lost[1:], np.cumsum(blank) > 0
-    kept, at = [], 0
-    for i, (line, own) in enumerate(zip(lines, spans, strict=True)):
-        out = lost[at : at + len(own)]
-        at += len(own)
-        if own and not out.any() or not own and not blank[i]:
-            kept.append(line)
-        elif own and not out.all():
-            pieces: list[list[int]] = []
-            for k, (a, b) in enumerate(own):
-                if out[k]:
-                    continue
-                if k and not out[k - 1]:
-                    pieces[-1][1] = b
-                else:
-                    pieces.append([a if k else 0, b])
-            if not out[-1]:
-                pieces[-1][1] = len(line)
-            kept.append(" ".join(line[a:b] for a, b in pieces))
-    return "\n".join(kept), len(lines) - len(kept)
+        lost[first] += 1
+        lost[last + 1] -= 1
+    lost = np.cumsum(lost)[:-1] > 0
+    feeds, line_of = _line_ends(data, starts)
+    n = len(feeds) + 1
+    line_lo, line_hi = np.concatenate([[0], feeds + 1]), np.concatenate([feeds, [len(data)]])
+    words, gone = np.bincount(line_of, minlength=n), np.bincount(line_of[lost], minlength=n)
+    after = np.searchsorted(starts, line_lo)  # for a blank line: the word after it
+    between = np.zeros(n, bool)
+    inner = (after > 0) & (after < len(starts))
+    between[inner] = lost[after[inner] - 1] & lost[after[inner]]
+    dropped = np.where(words > 0, gone == words, between)
+    parts, raw = [], data.tobytes()
+    plain = ~dropped & (gone == 0)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], plain, [False]]).astype(np.int8)))
+    pieces = [(lo, raw[line_lo[lo] : line_hi[hi - 1]]) for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]  # whole lines
+    for i in np.flatnonzero(~dropped & (gone > 0)).tolist():
+        lo, hi = np.searchsorted(line_of, [i, i + 1]).tolist()
+        out, parts = lost[lo:hi], []
+        for k in range(hi - lo):
+            if out[k]:
+                continue
+            a, b = int(starts[lo + k]), int(ends[lo + k])
+            if k and not out[k - 1]:
+                parts[-1][1] = b
+            else:
+                parts.append([a if k else int(line_lo[i]), b])
+        if not out[-1]:
+            parts[-1][1] = int(line_hi[i])
+        pieces.append((i, b" ".join(raw[a:b] for a, b in parts)))
+    return b"\n".join(x for _, x in sorted(pieces)), int(dropped.sum())
+
+
+def cut_text(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
+    """``cut`` for one text."""
+    words = Words(pa.array([text], pa.large_string()))
+    out, gone = cut(words.data[: words.row_at[-1]], words.starts, words.ends, runs)
+    return out.decode(), gone
 
 
 def dedup_lines(
@@ -241,24 +251,25 @@ def dedup_lines(
     sided = ends.join(flanks, _same(("h_id", "f_id"), ("h_hash", "f_hash"), ("word", "f_word"), ("after", "f_after")))
     met = sided.groupBy("m_id", "m_hash").agg(F.collect_list(F.struct("first", "last", "back", "after", "flank")).alias("_met"))
     joined = rows.join(met, _same(("_id", "m_id"), ("_hash", "m_hash")), "left").select("_row", "_met")
-    gone = fresh("gone", df.columns)
-    schema = T.StructType([*df.schema.fields, T.StructField(gone, T.LongType())])
-    at = df.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
-            row = b.column(0).flatten()
-            texts, lines = row[at], np.zeros(b.num_rows, np.int64)
-            touched = np.flatnonzero(b.column(1).is_valid().to_numpy(zero_copy_only=False))
-            if len(touched):
-                words = Words(texts)
-                short, own = words.hashes.astype(np.uint32), texts.to_pylist()
-                for i in touched.tolist():
-                    runs = extended(own[i], short[words.bounds[i] : words.bounds[i + 1]], b.column(1)[i].as_py(), min_words)
-                    own[i], lines[i] = cut(own[i], runs) if runs else (own[i], 0)
-                row[at] = pa.array(own, texts.type)
-            yield pa.RecordBatch.from_arrays([*row, pa.array(lines)], names=schema.names)
-
-    done = joined.mapInArrow(run, schema)
+    @F.arrow_udf("struct<text:string,gone:bigint>")
+    def done(texts: pa.Array, chains: pa.Array) -> pa.Array:
+        out, lines = [None] * len(texts), np.zeros(len(texts), np.int64)
+        touched = np.flatnonzero(chains.is_valid().to_numpy(zero_copy_only=False))
+        for lo in range(0, len(touched), 256):
+            at = touched[lo : lo + 256]
+            own = texts.take(pa.array(at))
+            words = Words(own)
+            short = words.hashes.astype(np.uint32)
+            for k, i in enumerate(at.tolist()):
+                a, z, base = words.bounds[k], words.bounds[k + 1], words.row_at[k]
+                data, starts, ends = words.data[base : words.row_at[k + 1]], words.starts[a:z] - base, words.ends[a:z] - base
+                runs = extended(short[a:z], _line_ends(data, starts)[1], chains[i].as_py(), min_words)
+                out[i], lines[i] = cut(data, starts, ends, runs) if runs else (data.tobytes(), 0)
+        return pa.StructArray.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), pa.array(lines)], names=["text", "gone"])
+
+    cleaned = joined.select("_row", "_met", done(F.when(F.col("_met").isNotNull(), F.col("_row")[text_col]), "_met").alias("_done"))
+    own = F.when(F.col("_met").isNull(), F.col("_row")[text_col]).otherwise(F.col("_done.text"))
     keep = [c for c in df.columns if removed_col is None or c.lower() != removed_col.lower()]
-    return done.select(*keep, *([F.col(gone).alias(removed_col)] if removed_col else []))
+    cols = [(own if c == text_col else F.col("_row")[c]).alias(c) for c in keep]
+    return cleaned.select(*cols, *([F.coalesce("_done.gone", F.lit(0)).cast("long").alias(removed_col)] if removed_col else []))

@@ -116,27 +116,28 @@ def _located(kind: Kind) -> Column:
     """All matches: array<struct<start, end, match, before>>, offsets in code points.
 
     Pieces and matches must be columns by now: a lambda evaluates what stands in it again for every match.
-    ``before`` ends the piece before the match.
+    ``before`` is the text's last CONTEXT_CHARS code points before the match.
     """
+    last = lambda s: F.right(s, F.lit(CONTEXT_CHARS))
     pieces, found = F.col(f"_p_{kind.name}"), F.col(f"_f_{kind.name}")
 
     def one(acc: Column, i: Column) -> Column:
         start = acc["at"] + F.length(F.get(pieces, i))
         end = start + F.length(F.get(found, i))
-        before = F.right(F.get(pieces, i), F.lit(CONTEXT_CHARS))
+        before = last(F.concat(acc["tail"], last(F.get(pieces, i))))
         span = F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("match"), before.alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.struct(end.alias("at"), last(F.concat(before, F.get(found, i))).alias("tail"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,match:string,before:string>>")
 
     def many(acc: Column, b: Column) -> Column:
-        last = F.least(b * BLOCK + BLOCK, F.size(found)) - 1
-        inner = F.aggregate(F.sequence(b * BLOCK, last), F.struct(acc["at"].alias("at"), empty.alias("out")), one)
-        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+        end = F.least(b * BLOCK + BLOCK, F.size(found)) - 1
+        inner = F.aggregate(F.sequence(b * BLOCK, end), F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"), empty.alias("out")), one)
+        return F.struct(inner["at"].alias("at"), inner["tail"].alias("tail"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
 
     blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int"))
     none = F.from_json(F.lit("[]"), "array<array<struct<start:int,end:int,match:string,before:string>>>")
-    all_ = F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), many)["out"])
+    all_ = F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out")), many)["out"])
     return F.when(F.size(found) > 0, all_)
 
 
@@ -168,7 +169,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Returns ``id_col``, and per kind an array ``<kind>`` of struct<kind, start, end, score>; offsets
     are code points, end exclusive.  Kinds email, ip, card and phone are always reported where valid;
     iban (mod 97), ssn and secret are added where their score reaches 60, raised by context words in the
-    40 code points before, as far as the previous match of the kind.  One output row per input row,
+    40 code points before.  One output row per input row,
     repeated rows and ids included; a null text is an empty text; an empty table gives an empty result;
     other columns of ``df`` are ignored.
     """

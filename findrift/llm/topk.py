@@ -10,13 +10,17 @@ What is left is verified by whole products.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 K, SCALE = 20, 64.0
 #: Vectors in a bucket (about) and queries in a block: a task's matrices, whatever the table's size.
 BUCKET_ROWS, QUERY_ROWS = 16_384, 2_048
@@ -177,6 +181,27 @@ def _plan(classes: list, bucket_rows: int) -> tuple[list[tuple[int, int, int]],
     return out, longest, first_rows
 
 
+def _visits(known: DataFrame, longest: list[float]) -> DataFrame:
+    """bucket, block, qid, qv, qnorm, theta: for each query the buckets after the first that may hold a score of theta or more.
+
+    Buckets come longest first, so those are the buckets up to one; it is found in the sorted bounds.
+    """
+    bounds = known.sparkSession.sparkContext.broadcast(-np.array(longest))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            qnorm, theta = (b.column(c).to_numpy(zero_copy_only=False) for c in ("qnorm", "theta"))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                least = np.where(qnorm > 0, theta / qnorm * (1 - 1e-9), np.where(theta > 0, np.inf, -np.inf))
+            least = np.where(least <= 0, -np.inf, least)
+            until = np.searchsorted(bounds.value, -least, side="right") - 1
+            yield b.append_column("until", pa.array(until, pa.int32()))
+
+    schema = T.StructType([*known.schema.fields, T.StructField("until", T.IntegerType())])
+    bucket = F.explode(F.sequence(F.lit(1), F.col("until"))).alias("bucket")
+    return known.mapInArrow(run, schema).where("until >= 1").select(bucket, "block", "qid", "qv", "qnorm", "theta")
+
+
 def top_k(
     df: DataFrame,
     is_query: Column,
@@ -213,23 +238,24 @@ def top_k(
     queries = rows.where("is_query").select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("norm").alias("qnorm"), block.alias("block"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
 
-    head = placed.where("bucket = 0").select(F.col("bucket").alias("bucket"), every, "id", "v", "norm")
+    # The first bucket is bounded by bucket_rows; every block of queries reads it.
+    head = placed.where("bucket = 0").select("bucket", every, "id", "v", "norm")
     # A bound needs k candidates besides the query's own row; with fewer it stays below all products.
     seeds = queries.select(F.lit(0).alias("bucket"), "block", "qid", "qv", "qnorm", F.lit(float("-inf")).alias("theta"))
     first = _match(seeds, head, k)
     if len(longest) > 1:
+        first = written(first)
         # Groups are one block and bucket: their size is bounded by query_rows and bucket_rows.
         bounds = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
         theta = F.when(F.col("n") >= k, F.col("low").cast("double")).otherwise(F.lit(float("-inf")))
         known = queries.join(bounds, F.col("qid") == F.col("query_id"), "left").select("qid", "qv", "qnorm", "block", theta.alias("theta"))
-        limits = F.array(*[F.lit(float(x)) for x in longest])
-        may = F.filter(F.sequence(F.lit(1), F.lit(len(longest) - 1)), lambda b: F.get(limits, b) * F.col("qnorm") * (1 + 1e-9) >= F.col("theta"))
-        visits = known.select(F.explode(may).alias("bucket"), "block", "qid", "qv", "qnorm", "theta")
-        rest = placed.where("bucket > 0").select("bucket", every, "id", "v", "norm")
+        visits = written(_visits(known, longest))
+        # A bucket goes only to the blocks with a query that visits it.
+        pairs = visits.select("bucket", "block").distinct().toDF("to_bucket", "to_block")
+        met = placed.where("bucket > 0").join(pairs, F.col("bucket") == F.col("to_bucket"))
+        rest = met.select("bucket", F.col("to_block").alias("block"), "id", "v", "norm")
         first = first.unionByName(_match(visits, rest, k))
     best = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast(T.IntegerType()).alias("rank"), "vec_id", "score")

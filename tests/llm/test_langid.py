@@ -55,3 +55,35 @@ def test_code_words_differ():
         codes = langid.code_words(n)
         gap = min(int((a != b).sum()) for i, a in enumerate(codes) for b in codes[:i])
         assert gap >= (1 if n == 2 else 2 if n == 3 else 4)
+
+
+def test_every_label_is_learned(spark):
+    """More labels than any fixed number, each with its own letters; the rarest too."""
+    labels = [f"l{i}" for i in range(260)]
+    word = lambda i: "".join(chr(0x4E00 + 70 * i + k) for k in range(4))
+    rows = [(i * 10 + k, f"{word(i)} " * 6, lang) for i, lang in enumerate(labels) for k in range(8 if i else 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.languages == sorted(labels)
+    got = langid.identify(df, model, keep=("lang",)).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.9
+
+
+def test_fitting_in_either_space_agrees(monkeypatch):
+    rng = np.random.default_rng(0)
+    x = np.abs(rng.normal(size=(60, langid.DIMS))).astype(np.float32)
+    labels = ["a", "b", "c"] * 20
+    one = langid.fit(x, labels)
+    monkeypatch.setattr(langid, "DIMS", 40)
+    short = langid.fit(x[:, :40], labels)
+    monkeypatch.setattr(langid, "DIMS", 4096)
+    same = langid.fit(x[:, :40], labels)
+    assert np.allclose(short.weights, same.weights, atol=1e-3) and one.languages == same.languages
+
+
+def test_clashing_names_and_long_texts(spark):
+    df = docs(spark, ["the house and the street " * 40_000, "der Hund und die Katze " * 3], langs=["en", "de"], ids=[0, 1]).withColumnsRenamed({"fingerprint": "score", "source": "ambiguous"})
+    got = langid.identify(df, langid.train(df), keep=("score", "ambiguous", "lang"))
+    assert got.columns == ["doc_id", "lang", "lang_pred", "score", "ambiguous"]
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {0: "en", 1: "de"}
+    assert dict(got.dtypes)["score"] == "double"

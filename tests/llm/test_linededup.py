@@ -39,7 +39,7 @@ def runs_of(lost: set[int]) -> list[tuple[int, int]]:
 
 def brute(texts: dict[int, str], min_words: int) -> dict[int, str]:
     lost = brute_lost(texts, min_words)
-    return {d: linededup.cut(t, runs_of(lost[d]))[0] if lost[d] else t for d, t in texts.items()}
+    return {d: linededup.cut_text(t, runs_of(lost[d]))[0] if lost[d] else t for d, t in texts.items()}
 
 
 def run(spark, texts: dict[int, str | None], min_words: int) -> dict[int, str | None]:
@@ -173,3 +173,30 @@ def test_hot_passage(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     got = run(spark, {i: f"own{i} {passage} end{i}" for i in range(3000)}, 50)
     assert got == {0: f"own0 {passage} end0"} | {i: f"own{i} end{i}" for i in range(1, 3000)}
+
+
+def plain_cut(text: str, lost: set[int]) -> str:
+    kept, w, n = [], 0, len(text.split())
+    for line in text.split("\n"):
+        own = range(w, w + len(line.split()))
+        w += len(own)
+        if not own:
+            if not (0 < w < n and w - 1 in lost and w in lost):
+                kept.append(line)
+        elif not lost & set(own):
+            kept.append(line)
+        elif not lost >= set(own):
+            kept.append(" ".join(x for i, x in zip(own, line.split(), strict=True) if i not in lost))
+    return "\n".join(kept)
+
+
+def test_cut_against_plain_python():
+    rng = random.Random(2)
+    for _ in range(500):
+        text = "\n".join(" ".join(rng.choice(["a", "é\U0001f600", "bc"]) for _ in range(rng.randrange(4))) for _ in range(rng.randrange(1, 8)))
+        n = len(text.split())
+        if not n:
+            continue
+        runs = [tuple(sorted((rng.randrange(n), rng.randrange(n)))) for _ in range(rng.randrange(1, 4))]
+        want = plain_cut(text, {w for a, b in runs for w in range(a, b + 1)})
+        assert linededup.cut_text(text, runs)[0] == want

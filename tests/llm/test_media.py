@@ -69,3 +69,9 @@ def test_hash_is_stable_under_small_change():
     other = media.cosine_hash(media.read_png(media.write_png(media.pad(bytes(range(32, 127)) * 40))))
     bits = lambda x, y: bin(int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).count("1")
     assert bits(a, b) < bits(a, other)
+
+
+def test_ids_of_any_type_and_very_long_texts(spark):
+    df = spark.createDataFrame([("a", "x", "m"), (None, None, "m"), ("a", "y" * 3_000_000, "m")], "name string, text string, media string")
+    got = media.digest(media.store(df, "name"), "name").collect()
+    assert sorted((r["name"] or "", r["n_bytes"]) for r in got) == [("", 0), ("a", 1), ("a", 3_000_000)]

@@ -63,6 +63,24 @@ def test_weights_are_met(spark):
         assert abs(r["count"] - 3000) < 5 * math.sqrt(3000)
 
 
+def test_a_column_named_as_the_copy_number_gives_way(spark):
+    df, _, _ = table(spark)
+    got = mixing.mix(df)
+    assert got.columns == [*[c for c in df.columns if c != "copy"], "copy"]
+    assert dict(got.dtypes)["copy"] == "bigint"
+    assert dict(mixing.mix(df, copy_col=None).dtypes)["copy"] == "string"
+
+
+def test_very_long_texts_and_one_id_spread_out(spark):
+    long = "x " * 500_000
+    df = docs(spark, [f"{long}{i}" for i in range(4)] + [f"t{i}" for i in range(400)], ids=[None] * 404)
+    got = mixing.mix(df, {"s": 1.0}, total=1212, copy_col="n")
+    counts = {r["text"][:9]: 0 for r in df.collect()}
+    assert got.count() == want_copies(None, 3.0, 17) * 404
+    held = [n for n in got.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()]
+    assert len(counts) > 100 and max(held) < 0.5 * sum(held)
+
+
 def test_edges(spark):
     df, _, _ = table(spark)
     assert mixing.mix(df.limit(0)).count() == 0
