@@ -1,12 +1,12 @@
 """Byte-level BPE through a distinct-word table.
 
 Spark splits the texts into words (the vocabulary's own pre-tokenising pattern, in the JVM).  The
-distinct words of the whole corpus, with their numbers, are one table, and each is encoded once.  Ids go
-back by position in two ways.  Every task holds the ids of the most frequent words, a bounded number
-(TABLE_WORDS), and puts them in place by itself, which by Zipf's law are nearly all places.  The other
-words' places are exploded, joined with the table by word, and the ids joined back to their text by
-place; texts without such a word are not shuffled.  Decoding joins ids with the id-to-piece table, which
-the vocabulary bounds and every task holds: an id is the piece's row, so that join is a gather.
+distinct words of the whole corpus, with their numbers, are one table; its most frequent words, a bounded
+number (TABLE_WORDS), are encoded once, and their ids go to every task, which joins them back by position.
+By Zipf's law these are nearly all places.  Words outside the bound are encoded where they stand, once a
+slice of rows: joining the tail back by position as well would shuffle a row for each of its places, far
+more than the texts themselves.  Decoding joins ids with the id-to-piece table, which the vocabulary
+bounds and every task holds: an id is the piece's row, so that join is a gather.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator, Sequence
-from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from .common import slices, written
 #: (?U): white space as Unicode defines it, as the tokenizer's engine does.
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words whose ids go to every task: the most frequent ones of at most so many characters.
-TABLE_WORDS, TABLE_CHARS = 200_000, 64
+TABLE_WORDS, TABLE_CHARS = 100_000, 32
 #: Characters that the JVM's Unicode tables don't know may be letters in newer ones.
 UNKNOWN = r"\p{Cn}|\p{Co}"
 
@@ -107,7 +106,7 @@ class WordEncoder:
         t.no_padding()
         return t
 
-    def words(self, words: list[str], step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, words: list[str], step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after another, where each word's ids start; one more at the end)."""
         ids, counts = [], []
         for lo in range(0, len(words), step):
@@ -133,106 +132,80 @@ def word_counts(words: DataFrame) -> DataFrame:
     return words.select("_words").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_table(words: DataFrame, spec: str) -> DataFrame:
-    """word, n, ids: every distinct word, encoded once."""
-    shared = words.sparkSession.sparkContext.broadcast(spec)
+def frequent_words(counts: DataFrame, spec: str, most: int) -> pa.Table:
+    """word and ids of the most frequent words of ``word_counts``, ``most`` at most, each encoded once.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = WordEncoder(shared.value)
-        for b in batches:
-            ids, starts = enc.words(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids))], names=["word", "n", "ids"])
-
-    return written(word_counts(words).mapInArrow(run, "word string, n long, ids array<int>"))
-
-
-def frequent_words(table: DataFrame, most: int) -> tuple[pa.Table, bool]:
-    """(word and ids of the most frequent words, ``most`` at most; are these all?)."""
+    Words of equal frequency, to an eighth of a power of two, are in or out together; longer words than
+    TABLE_CHARS are out, so that the table's size is bounded.
+    """
+    short = written(counts.where(F.length("word") <= TABLE_CHARS))
     size = F.floor(F.log2("n") * 8).cast("int")
-    sizes = table.groupBy(size.alias("size"), (F.length("word") <= TABLE_CHARS).alias("short")).count().collect()  # 2 * 8 * 63 rows at most
+    sizes = short.groupBy(size.alias("size")).count().collect()  # 8 * 63 rows at most
     least, held = None, 0
-    for r in sorted((r for r in sizes if r["short"]), key=lambda r: -r["size"]):
+    for r in sorted(sizes, key=lambda r: -r["size"]):
         if held + r["count"] > most:
             break
         least, held = r["size"], held + r["count"]
-    chosen = table.where((size >= least) & (F.length("word") <= TABLE_CHARS)) if held else table.limit(0)
-    return chosen.select("word", "ids").toArrow(), held == sum(r["count"] for r in sizes)
+    chosen = short.where(size >= least) if held else short.limit(0)
+    shared = counts.sparkSession.sparkContext.broadcast(spec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = WordEncoder(shared.value)
+        for b in batches:
+            ids, starts = enc.words(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids))], names=["word", "ids"])
+
+    return chosen.select("word").mapInArrow(run, "word string, ids array<int>").toArrow()
 
 
 class _Table:
     """The frequent words' ids, held by a task."""
 
-    made: ClassVar[tuple[bytes, _Table] | None] = None
-
     def __init__(self, packed: bytes) -> None:
-        t = pa.ipc.open_stream(packed).read_all().combine_chunks()
-        words, ids = (t.column(c).combine_chunks() if t.num_rows else pa.array([], k) for c, k in (("word", pa.string()), ("ids", pa.list_(pa.int32()))))
-        words, ids = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (words, ids))
-        self.row = {w: i for i, w in enumerate(words.to_pylist())}
-        self.ids = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        self.starts = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64))]).astype(np.int64)
-
-    @classmethod
-    def of(cls, shared) -> _Table:
-        """One table a worker, however many tasks it runs."""
-        packed = shared.value
-        if cls.made is None or cls.made[0] is not packed:
-            cls.made = (packed, cls(packed))
-        return cls.made[1]
+        t = pa.ipc.open_stream(packed).read_all()
+        self.row, ids, sizes = {}, [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for b in t.to_batches():
+            self.row.update(zip(b.column(0).to_pylist(), range(len(self.row), len(self.row) + b.num_rows), strict=True))
+            ids.append(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+            sizes.append(pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        self.ids, self.starts = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
 def _gather(ids: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the words ``at`` (none for -1), in order, and the running count before each word."""
-    counts = np.where(at >= 0, np.diff(starts, append=starts[-1])[at], 0)
+    """The ids of the words ``at``, in order, and the running count before each word."""
+    counts = np.diff(starts)[at]
     ends = np.concatenate([[0], np.cumsum(counts)])
-    index = np.repeat((starts[at] - ends[:-1]).astype(np.int32), counts)
+    index = np.repeat((starts[:-1][at] - ends[:-1]).astype(np.int32), counts)
     index += np.arange(ends[-1], dtype=np.int32)
     return ids[index], ends
 
 
-def _encode_batch(enc: WordEncoder, table: _Table, words: pa.ListArray, texts: pa.StringArray, rows: int = 1024) -> Iterator[tuple[int, pa.ListArray, pa.Array]]:
-    """(first row, ids of each row, its words that the table lacks) in slices of ``rows``."""
+def _encode_slice(enc: WordEncoder, table: _Table, words: pa.ListArray, texts: pa.StringArray) -> pa.ListArray:
+    """The ids of each row of a slice: its distinct words looked up in the table, the others encoded."""
     coded = pc.dictionary_encode(words.flatten())
-    found = np.array([table.row.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)
-    index = found[coded.indices.to_numpy(zero_copy_only=False)] if len(found) else np.empty(0, np.int64)
+    distinct = coded.dictionary.to_pylist()
+    found = np.array([table.row.get(w, -1) for w in distinct], np.int64)
+    lacking = np.flatnonzero(found < 0)
+    own, own_starts = enc.words([distinct[i] for i in lacking.tolist()])
+    known = found[found >= 0]
+    known_ids, known_ends = _gather(table.ids, table.starts, known)
+    # One small table of the slice's words: the known ones first, then the encoded ones.
+    ids, starts = np.concatenate([known_ids, own]), np.concatenate([known_ends, known_ends[-1] + own_starts[1:]])
+    place = np.empty(len(distinct), np.int64)
+    place[found >= 0], place[lacking] = np.arange(len(known)), np.arange(len(known), len(distinct))
+    index = place[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.empty(0, np.int64)
+    out, ends = _gather(ids, starts, index)
     sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    offsets = ends[np.concatenate([[0], np.cumsum(sizes)])]
     whole = words.is_null().to_numpy(zero_copy_only=False)
-    for lo in range(0, len(words), rows):
-        hi = min(lo + rows, len(words))
-        own, edges = index[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
-        out, ends = _gather(table.ids, table.starts, own)
-        offsets = ends[edges]
-        lacking = np.flatnonzero(own < 0)
-        row = np.searchsorted(edges, lacking, side="right") - 1
-        places = pa.StructArray.from_arrays(
-            [pa.array(np.arange(len(lacking)), pa.int32()), pa.array(ends[lacking] - offsets[row], pa.int32()),
-             coded.dictionary.take(coded.indices.take(pa.array(lacking + bounds[lo])))], names=["k", "at", "word"]
-        )
-        lack = pa.ListArray.from_arrays(pa.array(np.searchsorted(lacking, edges), pa.int32()), places)
-        if whole[lo:hi].any():
-            # Texts that the JVM could not split: rare, encoded whole and put in place.
-            parts = np.split(out, offsets[1:-1])
-            for i in np.flatnonzero(whole[lo:hi]):
-                parts[i] = np.array(enc.text(texts[lo + int(i)].as_py() or ""), np.int32)
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in parts])])
-            out = np.concatenate(parts)
-        yield lo, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out, pa.int32())), lack
-
-
-def _put(ids: pa.ListArray, puts: pa.ListArray) -> pa.ListArray:
-    """The ids with those of ``puts`` (k, at, ids) in their places."""
-    if puts.null_count == len(puts):
-        return ids
-    done = []
-    for own, more in zip(ids, puts, strict=True):
-        own = own.values.to_numpy()
-        if more.is_valid and len(more):
-            more = sorted(more.as_py(), key=lambda x: x["k"])
-            own = np.insert(own, np.repeat([x["at"] for x in more], [len(x["ids"]) for x in more]), [i for x in more for i in x["ids"]])
-        done.append(own)
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in done])])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(done), pa.int32()))
+    if whole.any():
+        # Texts that the JVM could not split: rare, encoded whole and put in place.
+        parts = np.split(out, offsets[1:-1])
+        for i in np.flatnonzero(whole).tolist():
+            parts[i] = np.array(enc.text(texts[i].as_py() or ""), np.int32)
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in parts])])
+        out = np.concatenate(parts)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out, pa.int32()))
 
 
 def encode(
@@ -254,50 +227,24 @@ def encode(
     sc = df.sparkSession.sparkContext
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
-    inner = df.select(*kept, split_words(text, specials_of(spec)).alias("_words"), F.when(text.rlike(UNKNOWN), text).alias("_text"), F.md5(text.cast("binary")).alias("_key"))
-    table = word_table(inner, spec)
-    frequent, complete = frequent_words(table, table_words)
+    inner = df.select(*kept, split_words(text, specials_of(spec)).alias("_words"), F.when(text.rlike(UNKNOWN), text).alias("_text"))
+    frequent = frequent_words(word_counts(inner), spec, table_words)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, frequent.schema) as writer:
         writer.write_table(frequent)
     shared, held = sc.broadcast(spec), sc.broadcast(sink.getvalue().to_pybytes())
-    own = [T.StructField(f"_k{i}", df.schema[c].dataType) for i, c in enumerate(keep)]
-    named = [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)] + [F.col(f.name) for f in outputs]
+    schema = T.StructType([*[T.StructField(f"_k{i}", df.schema[c].dataType) for i, c in enumerate(keep)], *outputs])
 
-    def finished(kept: list[pa.Array], ids: pa.ListArray, shown: _Digests | None) -> pa.RecordBatch:
-        more = [ids] * with_ids + (shown.of(ids) if shown else [])
-        return pa.RecordBatch.from_arrays([*kept, *more], names=[f.name for f in [*own, *outputs]])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, words = WordEncoder(shared.value), _Table.of(held)
-        shown = _Digests(shared.value) if digests else None
-        for b in batches:
-            for lo, ids, lack in _encode_batch(enc, words, b.column(n), b.column(n + 1)):
-                kept = b.slice(lo, len(ids)).columns
-                yield finished(kept[:n], ids, shown) if complete else pa.RecordBatch.from_arrays([*kept[:n], ids, lack, kept[n + 2]], names=[f.name for f in placed_schema])
-            del b
-            pa.default_memory_pool().release_unused()
-
-    if complete:
-        return inner.mapInArrow(place, T.StructType([*own, *outputs])).select(*named)
-
-    lack = T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("word", T.StringType())]))
-    placed_schema = T.StructType([*own, T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_lack", lack), T.StructField("_key", T.StringType())])
-    placed = written(inner.mapInArrow(place, placed_schema))
-    # Equal texts lack the same words at the same places.
-    asked = placed.select("_key", F.posexplode("_lack").alias("k", "l")).select("_key", "k", F.col("l.at").alias("at"), F.col("l.word").alias("_word")).distinct()
-    put = F.collect_list(F.struct("k", "at", "ids")).alias("_put")
-    puts = asked.join(table, F.col("_word") == F.col("word")).groupBy(F.col("_key").alias("_of")).agg(put)
-    rest = placed.where("size(_lack) > 0").join(puts, F.col("_key") == F.col("_of"))
-    whole = placed.where("size(_lack) = 0").withColumn("_put", F.lit(None).cast(puts.schema["_put"].dataType))
-    names = [f"_k{i}" for i in range(n)] + ["_ids", "_put"]
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, words = WordEncoder(shared.value), _Table(held.value)
         shown = _Digests(shared.value) if digests else None
-        for b in slices(batches, 1024):
-            yield finished(b.columns[:n], _put(b.column(n), b.column(n + 1)), shown)
+        for b in slices(batches, 512):
+            ids = _encode_slice(enc, words, b.column(n), b.column(n + 1))
+            more = [ids] * with_ids + (shown.of(ids) if shown else [])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *more], names=schema.names)
 
-    return rest.select(*names).unionByName(whole.select(*names)).mapInArrow(finish, T.StructType([*own, *outputs])).select(*named)
+    done = inner.mapInArrow(run, schema)
+    return done.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f.name) for f in outputs])
 
 
 def _per_row(ids: pa.ListArray, table: pa.LargeBinaryArray) -> list[memoryview]:

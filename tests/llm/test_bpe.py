@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,18 +48,28 @@ def test_awkward_texts(spark, library):
 
 @pytest.mark.parametrize("table_words", [0, 40])
 def test_words_beyond_the_table(spark, library, table_words):
-    """Words that tasks don't hold go through the join by place; equal texts and repeated words among them."""
+    """Words that tasks don't hold are encoded where they stand; equal texts and repeated words among them."""
     texts = [f"one two {i % 7}{'x' * i} two<|endoftext|> one, {i}" for i in range(60)] + ["one two 00 two<|endoftext|>"] * 3 + [None, "", "\U00031350 z", "long" * 40 + " b " + "long" * 40]
     check(spark, library, texts, table_words)
 
 
-def test_every_distinct_word_is_encoded_once(spark):
+def test_distinct_words_are_counted_over_all_rows(spark, monkeypatch):
     df = docs(spark, ["b a b", "a b a b c", " a"] * 200)
     words = df.select(bpe.split_words(F.col("text")).alias("_words")).repartition(7)
-    table = bpe.word_table(words, bpe.load(vocabulary())).collect()
-    assert sorted((r["word"], r["n"]) for r in table) == [(" a", 600), (" b", 600), (" c", 200), ("a", 200), ("b", 200)]
-    frequent, complete = bpe.frequent_words(spark.createDataFrame(table), 3)
-    assert (sorted(frequent.column("word").to_pylist()), complete) == ([" a", " b"], False)
+    counts = bpe.word_counts(words)
+    assert sorted((r["word"], r["n"]) for r in counts.collect()) == [(" a", 600), (" b", 600), (" c", 200), ("a", 200), ("b", 200)]
+    spec = bpe.load(vocabulary())
+    assert sorted(bpe.frequent_words(counts, spec, 3).column("word").to_pylist()) == [" a", " b"]
+    assert bpe.frequent_words(counts, spec, 9).num_rows == 5 and bpe.frequent_words(counts, spec, 0).num_rows == 0
+    # The table's words are not encoded again by the tasks that hold them.
+    table = bpe.frequent_words(counts, spec, 9)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    enc = bpe.WordEncoder(spec)
+    monkeypatch.setattr(enc, "words", lambda own: (np.empty(0, np.int32), np.zeros(1, np.int64)) if not own else pytest.fail(str(own)))
+    got = bpe._encode_slice(enc, bpe._Table(sink.getvalue().to_pybytes()), pa.array([["b", " a", " b"], [], ["a"]]), pa.array([None] * 3, pa.string()))
+    assert [len(x) for x in got.to_pylist()] == [3, 0, 1]
 
 
 def test_random_texts(spark, library):
