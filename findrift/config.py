@@ -77,7 +77,7 @@ class ConfigNote:
 
 
 _SECTIONS = {
-    "": {"version", "uriBaseMappings", "pathRebases", "pathAliases", "ruleAliases", "matching", "policy", "limits", "reporting"},
+    "": {"schemaVersion", "uriBaseMappings", "pathRebases", "pathAliases", "ruleAliases", "matching", "policy", "limits", "reporting"},
     "uriBaseMappings": {"id", "uri", "uriBaseId"},
     "pathRebases": {"from", "to"},
     "pathAliases": {"baseline", "candidate"},
@@ -115,8 +115,8 @@ def read_config(text: str | bytes | None, limits: Limits = Limits()) -> tuple[Co
     if not isinstance(data, dict):
         note("SCHEMA0001", "The configuration must be an object.")
         return None, notes
-    if data.get("version") != "1":
-        note("SCHEMA0002", 'The configuration version must be "1".', "/version")
+    if data.get("schemaVersion") != "1":
+        note("SCHEMA0002", 'The configuration schemaVersion must be "1".', "/schemaVersion")
 
     def unknown(section: str, item: dict, pointer: str) -> None:
         known = {_camel(f.name) for f in fields(Limits)} if section == "limits" else _SECTIONS[section]

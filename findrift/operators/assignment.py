@@ -12,13 +12,14 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findrift.config import Limits
 from findrift.schema import EXACT_PRODUCER, VECTOR
 
-GROUPS = 64
+#: Groups of blocks at least, and edges in a group about.
+GROUPS, GROUP_EDGES = 16, 200_000
 STATE = "case_name string, b_key string, c_key string, state string, code string, component string"
 #: Edges: case_name, block, b_key, c_key and the vector's fields.
 EDGE = ["case_name", "block", "b_key", "c_key", *VECTOR]
@@ -176,15 +177,28 @@ def resolve(edges: list[tuple[str, str, tuple]], limits: Limits) -> list[tuple[s
     return rows
 
 
+def _group(edges: DataFrame) -> Column:
+    """A group of blocks: as many groups as keep about GROUP_EDGES edges each, so none grows with the data.
+
+    A block itself is bounded by the pair budget of the preflight.
+    """
+    groups = max(GROUPS, -(-edges.count() // GROUP_EDGES))
+    return F.pmod(F.xxhash64("case_name", "block"), F.lit(groups)).alias("_g")
+
+
+def with_degrees(edges: DataFrame) -> DataFrame:
+    """``edges`` with how many edges either finding has: deg_b, deg_c."""
+    counts_b = edges.groupBy("case_name", "b_key").agg(F.count("*").alias("deg_b"))
+    counts_c = edges.groupBy("case_name", "c_key").agg(F.count("*").alias("deg_c"))
+    return edges.join(counts_b, ["case_name", "b_key"]).join(counts_c, ["case_name", "c_key"])
+
+
 def assign(edges: DataFrame, limits: Limits) -> DataFrame:
     """States of findings and edges: case_name, b_key, c_key, state, code, component.
 
     ``edges`` has case_name, block, b_key, c_key and vector; every edge stays inside its block.
     """
-    counts_b = edges.groupBy("case_name", "b_key").agg(F.count("*").alias("deg_b"))
-    counts_c = edges.groupBy("case_name", "c_key").agg(F.count("*").alias("deg_c"))
-    flat = edges.select("case_name", "block", "b_key", "c_key", *[F.col(f"vector.{f}").alias(f) for f in VECTOR])
-    known = flat.join(counts_b, ["case_name", "b_key"]).join(counts_c, ["case_name", "c_key"])
+    known = with_degrees(edges.select("case_name", "block", "b_key", "c_key", *[F.col(f"vector.{f}").alias(f) for f in VECTOR]))
     lone = known.where("deg_b = 1 and deg_c = 1")
     none = F.lit(None).cast("string")
     easy = lone.select("case_name", "b_key", "c_key", F.explode(F.array(F.lit("matched"), F.lit("kept"))).alias("state"), none.alias("code"), none.alias("component"))
@@ -199,7 +213,7 @@ def assign(edges: DataFrame, limits: Limits) -> DataFrame:
             out += [(case, *r) for r in rows]
         return pd.DataFrame(out, columns=["case_name", "b_key", "c_key", "state", "code", "component"])
 
-    solved = hard.groupBy(F.pmod(F.xxhash64("case_name", "block"), F.lit(GROUPS)).alias("_g")).applyInPandas(run, STATE)
+    solved = hard.groupBy(_group(hard)).applyInPandas(run, STATE)
     return easy.unionByName(solved)
 
 
@@ -216,5 +230,5 @@ def component_sizes(edges: DataFrame) -> DataFrame:
                 out[case, len(g)] = out.get((case, len(g)), 0) + 1
         return pd.DataFrame([(c, s, n) for (c, s), n in out.items()], columns=["case_name", "size", "n"])
 
-    part = edges.select("case_name", "block", "b_key", "c_key").groupBy(F.pmod(F.xxhash64("case_name", "block"), F.lit(GROUPS)).alias("_g"))
-    return part.applyInPandas(run, "case_name string, size long, n long").groupBy("case_name", "size").agg(F.sum("n").alias("n_components"))
+    flat = edges.select("case_name", "block", "b_key", "c_key")
+    return flat.groupBy(_group(flat)).applyInPandas(run, "case_name string, size long, n long").groupBy("case_name", "size").agg(F.sum("n").alias("n_components"))

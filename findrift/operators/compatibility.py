@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findrift.schema import DIAGNOSTIC
+
 #: code, severity, run fact, the most that passes
 RUN_THRESHOLDS = (
     ("GHCS0004", "warning", "results", 25_000), ("GHCS0005", "note", "results", 5_000), ("GHCS0006", "warning", "rules", 25_000),
@@ -71,3 +73,15 @@ def document_checks(documents: DataFrame, summaries: DataFrame, sizes: DataFrame
 def compatibility(documents: DataFrame, summaries: DataFrame, ignored: DataFrame) -> DataFrame:
     """All advisory diagnostics of the files."""
     return document_checks(documents, summaries).unionByName(run_checks(summaries)).unionByName(ignored_checks(ignored))
+
+
+def diagnostics(checks: DataFrame) -> DataFrame:
+    """Advisory rows as diagnostics: case_name and the diagnostic's fields."""
+    none = F.lit(None).cast("string")
+    pointer = F.when(F.col("run_index").isNull(), "").otherwise(F.concat(F.lit("/runs/"), F.col("run_index").cast("string")))
+    message = F.concat(F.lit("A limit of the hosting service is exceeded or a fact is ignored there: "), F.col("actual").cast("string"), F.lit("."))
+    made = F.struct(
+        "code", "severity", F.lit("github-compat").alias("stage"), message.alias("message"), F.col("side").alias("input"), "run_index",
+        F.lit(None).cast("int").alias("result_index"), pointer.alias("json_pointer"), none.alias("help"),
+    )
+    return checks.select("case_name", made.cast(DIAGNOSTIC).alias("d")).select("case_name", "d.*")

@@ -83,10 +83,10 @@ def compare(findings: DataFrame, config: Config = Config(), assess: bool = True)
     """
     known = occurrence.fp_reliability(findings) if assess else findings
     refused = checkpoint(blocking.preflight(findings, config.limits, config.rule_aliases))
-    full = occurrence.with_occurrences(known, config.fold_paths)
+    full = checkpoint(occurrence.with_occurrences(known, config.fold_paths))
     edges = checkpoint(scored_edges(full, refused, config))
     states = checkpoint(assignment.assign(edges, config.limits))
-    made = decisions.decide(full, edges, states, refused, config)
+    made = checkpoint(decisions.decide(full, edges, states, refused, config))
     return Comparison(full, refused, edges, states, made, diagnostics(full, refused, states), metrics(findings, refused, edges, states), decisions.summary(findings, made))
 
 

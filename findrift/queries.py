@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -13,7 +13,8 @@ from findrift.config import Config, Limits, RuleAlias
 from findrift.functions import context, exprs, paths
 from findrift.operators import assignment, blocking, compatibility, decisions, evaluation, linkage, occurrence, scoring
 from findrift.plans import adapters, compare
-from findrift.schema import VECTOR
+from findrift.reports import projection
+from findrift.schema import EXACT_PRODUCER, VECTOR
 from findrift.sources import sarif, wire
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -379,7 +380,7 @@ def _sized_case(spark, sf_dir, case: str, rule) -> DataFrame:
 
 @query(
     "WITH c AS (SELECT 'status' AS case_name, o_orderstatus AS rule, printf('%010d', o_orderkey) AS key FROM orders UNION ALL SELECT 'customer', CAST(o_custkey AS VARCHAR), printf('%010d', o_orderkey) FROM orders "
-    "UNION ALL SELECT 'lowered', CAST(o_custkey AS VARCHAR), printf('%010d', o_orderkey) FROM orders WHERE o_orderkey % 2 = 0), "
+    "UNION ALL SELECT 'single', CAST(o_orderkey AS VARCHAR), printf('%010d', o_orderkey) FROM orders), "
     "s AS (SELECT *, count(*) OVER (PARTITION BY case_name, rule) AS size, row_number() OVER (PARTITION BY case_name, rule ORDER BY key) AS incoming FROM c), "
     "w AS (SELECT *, sum(size) OVER (PARTITION BY case_name ORDER BY key) - size AS planned FROM s), "
     "x AS (SELECT *, CASE WHEN size > least(256, 100000 - planned + 1) THEN CASE WHEN 100000 - planned + 1 < 256 THEN 'MATCH0008' ELSE 'MATCH0007' END "
@@ -389,7 +390,7 @@ def _sized_case(spark, sf_dir, case: str, rule) -> DataFrame:
 def preflight_status(spark, sf_dir):
     cust = F.col("o_custkey").cast("string")
     rows = _sized_case(spark, sf_dir, "status", F.col("o_orderstatus")).unionByName(_sized_case(spark, sf_dir, "customer", cust)).unionByName(
-        _sized_case(spark, sf_dir, "lowered", cust).where(F.col("finding_key").cast("long") % 2 == 0)
+        _sized_case(spark, sf_dir, "single", F.col("o_orderkey").cast("string"))
     )
     found = blocking.preflight(rows, Limits(maximum_candidate_pair_evaluations=100_000))
     return found.select("case_name", "code", F.coalesce("finding_key", F.lit("")).alias("finding_key"))
@@ -459,40 +460,41 @@ def decision_vector(spark, sf_dir):
 
 # Decisions
 
-_COMMIT = """, commits AS (SELECT b.key AS b_key, c.key AS c_key, CASE WHEN b.message <> c.message AND lower(b.message) <> lower(c.message) THEN 'modified' WHEN b.line <> c.line THEN 'moved' ELSE 'unchanged' END AS classification
+#: Without snippets only unique producer fingerprints make edges, so SQL can say what the engine decides.
+_PLAIN = _HASHED.replace(
+    "CASE WHEN k % 31 <> 0 THEN CASE WHEN label = 'no_fp' THEN 's' || (k % 3) ELSE 's' || k END END AS snippet", "CAST(NULL AS VARCHAR) AS snippet"
+).replace("'s' || (k + 1000000000) AS snippet", "CAST(NULL AS VARCHAR) AS snippet")
+_COMMIT = """, commits AS (SELECT b.key AS b_key, c.key AS c_key, CASE WHEN lower(b.message) <> lower(c.message) THEN 'modified' WHEN b.path <> c.path OR b.line <> c.line THEN 'moved' ELSE 'unchanged' END AS classification
 FROM n b JOIN n c ON b.crule = c.crule AND b.fp = c.fp AND b.side = 'baseline' AND c.side = 'candidate' AND b.n_fp = 1 AND c.n_fp = 1)"""
 
 
+def _decided(spark, sf_dir):
+    """The engine's decisions on the order snapshots without snippets."""
+    rows = adapters.order_rows(spark, sf_dir).withColumn("snippet", F.lit(None).cast("string"))
+    return compare.compare(adapters.to_findings(rows)).decisions
+
+
 def _commits(spark, sf_dir):
-    """Unique producer fingerprints alone: the smallest slice of the engine, all joins."""
-    rows = adapters.order_rows(spark, sf_dir).where("fp is not null")
-    w = Window.partitionBy("side", "rule", "fp")
-    own = rows.withColumn("n", F.count("*").over(w)).where("n = 1")
-    b = own.where("side = 'baseline'").select("rule", "fp", F.col("key").alias("b_key"), F.col("message").alias("b_message"), F.col("line").alias("b_line"))
-    c = own.where("side = 'candidate'").select("rule", "fp", F.col("key").alias("c_key"), F.col("message").alias("c_message"), F.col("line").alias("c_line"))
-    kind = F.when(F.lower("b_message") != F.lower("c_message"), "modified").when(F.col("b_line") != F.col("c_line"), "moved").otherwise("unchanged")
-    return b.join(c, ["rule", "fp"]).select("b_key", "c_key", kind.alias("classification"))
+    return _decided(spark, sf_dir).where(F.col("tier") == EXACT_PRODUCER).select("b_key", "c_key", "classification")
 
 
-@query(f"{_HASHED}{_COMMIT} SELECT * FROM commits")
+@query(f"{_PLAIN}{_COMMIT} SELECT * FROM commits")
 def exact_commit(spark, sf_dir):
     return _commits(spark, sf_dir)
 
 
-@query(f"{_HASHED}{_COMMIT} SELECT classification, count(*) AS n FROM commits GROUP BY ALL")
+@query(f"{_PLAIN}{_COMMIT} SELECT classification, count(*) AS n FROM commits GROUP BY ALL")
 def classify_exact(spark, sf_dir):
     return _commits(spark, sf_dir).groupBy("classification").agg(F.count("*").alias("n"))
 
 
 @query(
-    f"{_HASHED}{_COMMIT} SELECT key, 'resolved' AS classification FROM n WHERE side = 'baseline' AND key NOT IN (SELECT b_key FROM commits) "
+    f"{_PLAIN}{_COMMIT} SELECT key, 'resolved' AS classification FROM n WHERE side = 'baseline' AND key NOT IN (SELECT b_key FROM commits) "
     "UNION ALL SELECT key, 'new' FROM n WHERE side = 'candidate' AND key NOT IN (SELECT c_key FROM commits)"
 )
 def unmatched_new_resolved(spark, sf_dir):
-    done, rows = _commits(spark, sf_dir), adapters.order_rows(spark, sf_dir).select("side", "key")
-    b = rows.where("side = 'baseline'").join(done.select(F.col("b_key").alias("key")), "key", "left_anti").select("key", F.lit("resolved").alias("classification"))
-    c = rows.where("side = 'candidate'").join(done.select(F.col("c_key").alias("key")), "key", "left_anti").select("key", F.lit("new").alias("classification"))
-    return b.unionByName(c)
+    alone = _decided(spark, sf_dir).where("b_key is null or c_key is null")
+    return alone.select(F.coalesce("b_key", "c_key").alias("key"), "classification")
 
 
 @query(None)
@@ -528,8 +530,7 @@ def ambiguous_components(spark, sf_dir):
     "SELECT x.b_key, x.c_key, nb AS b_degree, nc AS c_degree FROM x JOIN g USING (b_key) JOIN i USING (c_key)"
 )
 def edge_degrees(spark, sf_dir):
-    e = _edges(spark, sf_dir).select("b_key", "c_key")
-    return e.join(e.groupBy("b_key").agg(F.count("*").alias("b_degree")), "b_key").join(e.groupBy("c_key").agg(F.count("*").alias("c_degree")), "c_key").select("b_key", "c_key", "b_degree", "c_degree")
+    return assignment.with_degrees(_edges(spark, sf_dir)).select("b_key", "c_key", F.col("deg_b").alias("b_degree"), F.col("deg_c").alias("c_degree"))
 
 
 @query(
@@ -609,7 +610,7 @@ def _labelled(spark, sf_dir):
     return done, pairs, lost
 
 
-_LABELLED = f"""{_HASHED}{_COMMIT}, d AS (SELECT 'case' || (CAST(b_key[3:] AS BIGINT) % 3) AS case_name, * FROM commits),
+_LABELLED = f"""{_PLAIN}{_COMMIT}, d AS (SELECT 'case' || (CAST(b_key[3:] AS BIGINT) % 3) AS case_name, * FROM commits),
 l AS (SELECT 'case' || (k % 3) AS case_name, key AS b_key, 'c:' || k AS c_key, CASE label WHEN 'message' THEN 'modified' WHEN 'move' THEN 'moved' ELSE 'unchanged' END AS classification
 FROM n WHERE side = 'baseline' AND label NOT IN ('drop', 'no_fp')),
 m AS (SELECT coalesce(l.case_name, d.case_name) AS case_name, count(l.b_key) AS labelled, count(*) FILTER (l.b_key IS NOT NULL AND d.b_key IS NOT NULL) AS tp, count(*) FILTER (l.b_key IS NULL) AS fp,
@@ -655,14 +656,14 @@ def contingency(spark, sf_dir):
 
 
 @query(
-    "WITH e AS (SELECT DISTINCT source, d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1), a AS (SELECT DISTINCT source, doc_id FROM documents WHERE doc_id % 3 = 0), "
+    "WITH e AS (SELECT DISTINCT source, d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1), a AS (SELECT DISTINCT source, d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 0), "
     "c AS (SELECT coalesce(e.source, a.source) AS source, count(*) FILTER (e.doc_id IS NOT NULL AND a.doc_id IS NOT NULL) AS tp, count(*) FILTER (e.doc_id IS NULL) AS fp, count(*) FILTER (a.doc_id IS NULL) AS fn "
     "FROM e FULL JOIN a ON e.source = a.source AND e.doc_id = a.doc_id GROUP BY 1) SELECT source, tp, fp, fn, CAST(CAST(round_even(tp / nullif(tp + fp, 0), 6) AS DECIMAL(20, 6)) AS DOUBLE) AS precision, "
     "CAST(CAST(round_even(tp / nullif(tp + fn, 0), 6) AS DECIMAL(20, 6)) AS DOUBLE) AS recall FROM c"
 )
 def set_scores(spark, sf_dir):
-    d, good = _read(spark, sf_dir, "documents").select("source", "doc_id"), _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    scores = evaluation.set_scores(d.join(good, "doc_id"), d.where("doc_id % 3 = 0"), ["source"], ["doc_id"])
+    d, labels = _read(spark, sf_dir, "documents").select("source", "doc_id"), _read(spark, sf_dir, "labels")
+    scores = evaluation.set_scores(d.join(labels.where("quality = 1"), "doc_id"), d.join(labels.where("toxic = 0"), "doc_id"), ["source"], ["doc_id"])
     return scores.withColumn("precision", F.col("precision").cast("double")).withColumn("recall", F.col("recall").cast("double"))
 
 
@@ -730,19 +731,18 @@ def rejected_topk(spark, sf_dir):
     return e.select("b_key", F.slice(F.transform(decisions.order_alternatives(F.col("items")), lambda x: x["key"]), 1, 3).alias("top"))
 
 
-@query(f"{_HASHED}{_COMMIT} SELECT b_key, c_key, classification, row_number() OVER (ORDER BY classification, b_key, c_key) AS rank FROM commits")
+@query(
+    f"{_PLAIN}{_COMMIT}, d AS (SELECT b_key, c_key, classification FROM commits UNION ALL SELECT key, NULL, 'resolved' FROM n WHERE side = 'baseline' AND key NOT IN (SELECT b_key FROM commits) "
+    "UNION ALL SELECT NULL, key, 'new' FROM n WHERE side = 'candidate' AND key NOT IN (SELECT c_key FROM commits)) "
+    "SELECT *, row_number() OVER (ORDER BY classification, coalesce(b_key, ''), coalesce(c_key, '')) AS rank FROM d"
+)
 def report_order(spark, sf_dir):
-    done = _commits(spark, sf_dir)
-    # A report's order is global and its writer single, so the rank is taken over one partition of keys.
-    return done.withColumn("rank", F.row_number().over(Window.orderBy(*decisions.report_order())).cast("long"))
+    return decisions.report_ranks(_decided(spark, sf_dir)).select("b_key", "c_key", "classification", "rank")
 
 
 @query(
-    f"{_HASHED}{_COMMIT} SELECT c_key AS key, CASE classification WHEN 'unchanged' THEN 'unchanged' ELSE 'updated' END AS baseline_state FROM commits UNION ALL SELECT key, 'absent' FROM n WHERE side = 'baseline' AND key NOT IN (SELECT b_key FROM commits) "
+    f"{_PLAIN}{_COMMIT} SELECT c_key AS key, CASE classification WHEN 'unchanged' THEN 'unchanged' ELSE 'updated' END AS baseline_state FROM commits UNION ALL SELECT key, 'absent' FROM n WHERE side = 'baseline' AND key NOT IN (SELECT b_key FROM commits) "
     "UNION ALL SELECT key, 'new' FROM n WHERE side = 'candidate' AND key NOT IN (SELECT c_key FROM commits)"
 )
 def baseline_state(spark, sf_dir):
-    from findrift.reports.projection import baseline_state as state
-
-    done = _commits(spark, sf_dir).select(F.col("c_key").alias("key"), "classification").unionByName(unmatched_new_resolved(spark, sf_dir))
-    return done.select("key", state(F.col("classification")).alias("baseline_state"))
+    return _decided(spark, sf_dir).select(F.coalesce("c_key", "b_key").alias("key"), projection.baseline_state(F.col("classification")).alias("baseline_state"))

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import html
+import io
 import json
 from collections import Counter
 from collections.abc import Iterable
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findrift.functions import paths
 from findrift.functions.exprs import ordinal
-from findrift.reports.stable import NAME, VERSION, dumps, region_json
+from findrift.reports.stable import NAME, VERSION, Items, dumps, region_json, stream
 
 SCHEMA_URI = "https://json.schemastore.org/sarif-2.1.0.json"
 STATES = {"new": "new", "unchanged": "unchanged", "moved": "updated", "modified": "updated", "resolved": "absent"}
@@ -53,57 +55,74 @@ def _result(rule: str, message: str, uri: str | None, region: dict | None, extra
     return out | {"properties": properties}
 
 
-def canonical_log(findings: DataFrame, decisions: DataFrame) -> bytes:
+def write_canonical_log(findings: DataFrame, decisions: DataFrame, out) -> None:
     """A comparison as one canonical log: the candidate's side of each decision, or the baseline's.
 
-    Results sort by rule, URI, key and class; a report's bytes have one order, so one writer makes them.
+    Results sort by rule, URI, key and class, and are written to ``out`` one by one; only the rules' ids
+    are held.
     """
     side = findings.select(
         "case_name", F.col("finding_key").alias("key"), "canonical_rule", F.col("path.canonical_uri").alias("uri"), "region", F.col("message.canonical").alias("text"), "derived_fps"
     )
     shown = decisions.select("case_name", "classification", F.coalesce("c_key", "b_key").alias("key")).join(side, ["case_name", "key"])
     ordered = shown.orderBy(ordinal(F.col("canonical_rule")), ordinal(F.coalesce("uri", F.lit(""))), ordinal(F.col("key")), "classification")
-    results, rules = [], []
-    for r in ordered.toLocalIterator():
-        if r["canonical_rule"] not in rules[-1:]:
-            rules.append(r["canonical_rule"])
-        state = STATES.get(r["classification"])
-        fp = {d["name"]: d["value"] for d in r["derived_fps"] or [] if d["name"] == "findrift/rule-path-context/v2"}
-        results.append(
-            _result(r["canonical_rule"], r["text"], r["uri"], region_json(r["region"]), {"baselineState": state} if state else {}, fp,
-                    {f"{NAME}/classification": r["classification"], f"{NAME}/findingKey": r["key"]})
-        )
-    driver = {"name": NAME, "version": VERSION, "rules": [{"id": x} for x in rules]}
-    return dumps({"$schema": SCHEMA_URI, "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]})
+    rules = [{"id": r["canonical_rule"]} for r in shown.select("canonical_rule").distinct().orderBy(ordinal(F.col("canonical_rule"))).toLocalIterator()]
 
+    def results():
+        for r in ordered.toLocalIterator():
+            state = STATES.get(r["classification"])
+            fp = {d["name"]: d["value"] for d in r["derived_fps"] or [] if d["algorithm"] == "rule-path-context/v2"}
+            extra = {f"{NAME}/classification": r["classification"], f"{NAME}/findingKey": r["key"]}
+            yield _result(r["canonical_rule"], r["text"], r["uri"], region_json(r["region"]), {"baselineState": state} if state else {}, fp, extra)
 
-def canonicalised_log(findings: DataFrame) -> bytes:
-    """One log's findings in canonical form, grouped by run, sorted by rule, URI, line, column and key."""
+    driver = {"name": NAME, "version": VERSION, "rules": rules}
+    stream({"$schema": SCHEMA_URI, "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": Items(results())}]}, out)
+
+
+def canonical_log(findings: DataFrame, decisions: DataFrame) -> bytes:
+    """A small comparison's log as bytes."""
+    out = io.BytesIO()
+    write_canonical_log(findings, decisions, out)
+    return out.getvalue()
+
+
+def write_canonicalised_log(findings: DataFrame, out) -> None:
+    """One log's findings in canonical form, grouped by run, sorted by rule, URI, line, column and key; written one by one."""
     ordered = findings.orderBy(
         "run_index", ordinal(F.col("canonical_rule")), ordinal(F.coalesce("path.canonical_uri", F.lit(""))), F.col("region.start_line").asc_nulls_first(),
         F.col("region.start_column").asc_nulls_first(), ordinal(F.col("finding_key")),
     )
-    runs: dict[int, dict] = {}
-    for r in ordered.toLocalIterator():
-        run = runs.setdefault(r["run_index"], {"tool": {"driver": {"name": r["tool_name"], **({"version": r["tool_version"]} if r["tool_version"] else {}), "rules": []}}, "results": []})
-        ids = run["tool"]["driver"]["rules"]
-        if {"id": r["canonical_rule"]} not in ids[-1:]:
-            ids.append({"id": r["canonical_rule"]})
+    tools = findings.select("run_index", "tool_name", "tool_version", "canonical_rule").distinct().orderBy("run_index", ordinal(F.col("canonical_rule")))
+    heads: dict[int, dict] = {}
+    for r in tools.toLocalIterator():
+        driver = heads.setdefault(r["run_index"], {"name": r["tool_name"], **({"version": r["tool_version"]} if r["tool_version"] else {}), "rules": []})
+        driver["rules"].append({"id": r["canonical_rule"]})
+
+    def result(r) -> dict:
         fp = {d["name"]: d["value"] for d in r["derived_fps"] or []}
         meta = {k: v for k, v in (("level", r["level"]), ("kind", r["kind"])) if v}
-        uri = r["path"]["canonical_uri"] if r["path"] else None
-        run["results"].append(
-            _result(r["canonical_rule"], r["message"]["canonical"], uri, region_json(r["region"]), meta, fp,
-                    {f"{NAME}/findingKey": r["finding_key"], f"{NAME}/producer": r["producer_identity"], f"{NAME}/originalRule": r["original_rule"]})
-        )
-    return dumps({"$schema": SCHEMA_URI, "version": "2.1.0", "runs": [runs[i] for i in sorted(runs)]})
+        extra = {f"{NAME}/findingKey": r["finding_key"], f"{NAME}/producer": r["producer_identity"], f"{NAME}/originalRule": r["original_rule"]}
+        return _result(r["canonical_rule"], r["message"]["canonical"], r["path"]["canonical_uri"] if r["path"] else None, region_json(r["region"]), meta, fp, extra)
+
+    def runs():
+        for index, rows in groupby(ordered.toLocalIterator(), key=lambda r: r["run_index"]):
+            yield {"tool": {"driver": heads[index]}, "results": Items(result(r) for r in rows)}
+
+    stream({"$schema": SCHEMA_URI, "version": "2.1.0", "runs": Items(runs())}, out)
+
+
+def canonicalised_log(findings: DataFrame) -> bytes:
+    """A small log as bytes."""
+    out = io.BytesIO()
+    write_canonicalised_log(findings, out)
+    return out.getvalue()
 
 
 def validation_summary(diagnostics: DataFrame, valid: bool, name: str) -> bytes:
     """Counts of diagnostics by severity, and the diagnostics in order."""
     from findrift.reports.stable import diagnostics_json
 
-    rows = diagnostics_json(diagnostics)
+    rows = list(diagnostics_json(diagnostics))  # bounded by the limits on one log
     by = Counter(d["severity"] for d in rows)
     return dumps({"input": name, "valid": valid, "counts": {k: by.get(k, 0) for k in ("error", "warning", "note")}, "diagnostics": rows})
 

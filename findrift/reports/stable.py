@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import os
 import tempfile
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -23,6 +26,55 @@ def dumps(value) -> bytes:
     return json.dumps(value, ensure_ascii=False, indent=2, separators=(",", ": ")).encode("utf-8", "surrogatepass") + b"\n"
 
 
+class Measured:
+    """A binary sink that counts and hashes what goes through it; without a file it only measures."""
+
+    def __init__(self, out=None) -> None:
+        self.out, self.size, self.hash = out, 0, hashlib.sha256()
+
+    def write(self, raw: bytes) -> None:
+        self.size += len(raw)
+        self.hash.update(raw)
+        if self.out:
+            self.out.write(raw)
+
+    def result(self) -> dict:
+        return {"bytes": self.size, "sha256": self.hash.hexdigest()}
+
+
+class Items:
+    """A list of a report that is written item by item and never held."""
+
+    def __init__(self, rows: Iterable) -> None:
+        self.rows = rows
+
+
+def stream(value, out, depth: int = 0) -> None:
+    """Writes ``value`` as ``dumps`` would, its ``Items`` one after the other."""
+    pad = "  " * (depth + 1)
+
+    def flat(x) -> bytes:
+        return json.dumps(x, ensure_ascii=False, indent=2, separators=(",", ": ")).replace("\n", "\n" + pad).encode("utf-8", "surrogatepass")
+
+    def held(x) -> bool:
+        return isinstance(x, Items) or (isinstance(x, dict) and any(held(v) for v in x.values())) or (isinstance(x, list) and any(held(v) for v in x))
+
+    if isinstance(value, dict):
+        first, opened, closed = True, b"{", b"}"
+        parts = ((json.dumps(k, ensure_ascii=False).encode() + b": ", v) for k, v in value.items())
+    else:
+        first, opened, closed = True, b"[", b"]"
+        parts = ((b"", v) for v in (value.rows if isinstance(value, Items) else value))
+    out.write(opened)
+    for name, v in parts:
+        out.write((b"" if first else b",") + b"\n" + pad.encode() + name)
+        first = False
+        stream(v, out, depth + 1) if held(v) else out.write(flat(v))
+    out.write((b"" if first else b"\n" + b"  " * depth) + closed)
+    if depth == 0:
+        out.write(b"\n")
+
+
 def region_json(r) -> dict | None:
     return None if r is None else {"startLine": r["start_line"], "startColumn": r["start_column"], "endLine": r["end_line"], "endColumn": r["end_column"]}
 
@@ -38,13 +90,16 @@ def diagnostics_order() -> list:
     ]
 
 
-def diagnostics_json(diagnostics: DataFrame) -> list[dict]:
+def _diagnostic(d) -> dict:
+    return {
+        "code": d["code"], "severity": d["severity"], "stage": d["stage"], "message": d["message"], "input": d["input"], "runIndex": d["run_index"],
+        "resultIndex": d["result_index"], "jsonPointer": d["json_pointer"], "help": d["help"],
+    }
+
+
+def diagnostics_json(diagnostics: DataFrame) -> Iterator[dict]:
     """Diagnostics in order, for a report's own lists; a report names each once."""
-    return [
-        {"code": d["code"], "severity": d["severity"], "stage": d["stage"], "message": d["message"], "input": d["input"], "runIndex": d["run_index"],
-         "resultIndex": d["result_index"], "jsonPointer": d["json_pointer"], "help": d["help"]}
-        for d in diagnostics.orderBy(*diagnostics_order()).toLocalIterator()
-    ]
+    return (_diagnostic(d) for d in diagnostics.orderBy(*diagnostics_order()).toLocalIterator())
 
 
 def _reference(f, key: str) -> dict | None:
@@ -91,32 +146,78 @@ def _finding(r) -> dict:
 
 
 def report_rows(findings: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Decisions with both findings, in report order."""
+    """Decisions with both findings, by case and in report order."""
     side = lambda s, k, n: findings.where(F.col("side") == s).select("case_name", F.col("finding_key").alias(k), F.struct("*").alias(n))
     joined = decisions.join(side("baseline", "b_key", "b"), ["case_name", "b_key"], "left").join(side("candidate", "c_key", "c"), ["case_name", "c_key"], "left")
-    return joined.orderBy(*report_order())
+    return joined.orderBy("case_name", *report_order())
 
 
-def stable_report(comparison, case_name: str, baseline: str = "baseline", candidate: str = "candidate", diagnostics: DataFrame | None = None) -> bytes:
-    """One case's comparison as report bytes.
+class _ByCase:
+    """Rows sorted by case, handed out case by case; a case without rows has none."""
+
+    def __init__(self, rows: Iterator) -> None:
+        self.groups = groupby(rows, key=lambda r: r["case_name"])
+        self.next = next(self.groups, None)
 
-    The report's order is global, so its rows stream through one writer; ``write_decisions`` is the
-    distributed form.
+    def of(self, case: str) -> Iterator:
+        while self.next and self.next[0] < case:
+            self.next = next(self.groups, None)
+        if self.next and self.next[0] == case:
+            yield from self.next[1]
+
+
+def write_reports(comparison, cases: Iterable[str], sink, baseline: str = "baseline", candidate: str = "candidate", diagnostics: DataFrame | None = None) -> None:
+    """The reports of cases, each written row by row to ``sink(case)``; all cases are one sorted stream.
+
+    A report's order is global, so its sorted rows stream through one writer, a partition at a time;
+    ``write_decisions`` is the distributed form.
     """
-    own = lambda df: df.where(F.col("case_name") == case_name)
-    summary, metrics = own(comparison.summary).first(), own(comparison.metrics).first()
+    wanted = sorted(cases)
+    own = lambda df: df.where(F.col("case_name").isin(wanted))
+    summaries, metrics = ({r["case_name"]: r for r in own(df).collect()} for df in (comparison.summary, comparison.metrics))  # a row a case
     notes = comparison.diagnostics if diagnostics is None else comparison.diagnostics.unionByName(diagnostics)
+    rows = _ByCase(report_rows(own(comparison.findings), own(comparison.decisions)).toLocalIterator())
+    noted = _ByCase(own(notes).orderBy("case_name", *diagnostics_order()).toLocalIterator())
     counts = ("new", "unchanged", "moved", "modified", "resolved", "ambiguous")
-    return dumps(
-        {
-            "outputSchemaVersion": OUTPUT, "tool": {"name": NAME, "version": VERSION}, "inputs": {"baseline": baseline, "candidate": candidate},
-            "summary": {"baselineCount": summary["baseline_count"] if summary else 0, "candidateCount": summary["candidate_count"] if summary else 0, **{n: summary[n] if summary else 0 for n in counts}},
-            "findings": [_finding(r) for r in report_rows(own(comparison.findings), own(comparison.decisions)).toLocalIterator()],
-            "diagnostics": diagnostics_json(own(notes)),
-            "metrics": {"candidateEdges": metrics["candidate_edges"] if metrics else 0, "components": metrics["components"] if metrics else 0, "ambiguousComponents": metrics["ambiguous_components"] if metrics else 0},
-            "determinism": {"ordering": "ordinal", "timestamps": False},
-        }
-    )
+    for case in wanted:
+        summary, m = summaries.get(case), metrics.get(case)
+        stream(
+            {
+                "outputSchemaVersion": OUTPUT, "tool": {"name": NAME, "version": VERSION}, "inputs": {"baseline": baseline, "candidate": candidate},
+                "summary": {"baselineCount": summary["baseline_count"] if summary else 0, "candidateCount": summary["candidate_count"] if summary else 0, **{n: summary[n] if summary else 0 for n in counts}},
+                "findings": Items(_finding(r) for r in rows.of(case)),
+                "diagnostics": Items(_diagnostic(d) for d in noted.of(case)),
+                "metrics": {"candidateEdges": m["candidate_edges"] if m else 0, "components": m["components"] if m else 0, "ambiguousComponents": m["ambiguous_components"] if m else 0},
+                "determinism": {"ordering": "ordinal", "timestamps": False},
+            },
+            sink(case),
+        )
+
+
+def write_stable_report(comparison, case_name: str, out, baseline: str = "baseline", candidate: str = "candidate", diagnostics: DataFrame | None = None) -> None:
+    """One case's report, written to ``out`` row by row."""
+    write_reports(comparison, [case_name], lambda _: out, baseline, candidate, diagnostics)
+
+
+def measure_reports(comparison, cases: Iterable[str], diagnostics: DataFrame | None = None) -> dict[str, dict]:
+    """Size and SHA-256 of the reports of cases, without holding one."""
+    sinks: dict[str, Measured] = {}
+    write_reports(comparison, cases, lambda case: sinks.setdefault(case, Measured()), diagnostics=diagnostics)
+    return {case: sink.result() for case, sink in sinks.items()}
+
+
+def stable_report(comparison, case_name: str, baseline: str = "baseline", candidate: str = "candidate", diagnostics: DataFrame | None = None) -> bytes:
+    """A small report as bytes."""
+    out = io.BytesIO()
+    write_stable_report(comparison, case_name, out, baseline, candidate, diagnostics)
+    return out.getvalue()
+
+
+def measure_report(comparison, case_name: str, **named) -> dict:
+    """Size and SHA-256 of a case's report, without holding it."""
+    out = Measured()
+    write_stable_report(comparison, case_name, out, **named)
+    return out.result()
 
 
 def read_report(raw: bytes) -> dict:
@@ -127,17 +228,29 @@ def read_report(raw: bytes) -> dict:
     for name in ("new", "unchanged", "moved", "modified", "resolved", "ambiguous"):
         if data["summary"][name] != sum(f["classification"] == name for f in data["findings"]):
             raise ValueError(f"the summary of {name} differs from the findings")
+    keys: set[tuple] = set()
+    order: list = []
     for f in data["findings"]:
+        named = tuple(f[side]["findingKey"] if f[side] else "" for side in ("baseline", "candidate"))
+        for side, key in enumerate(named):
+            if key and (side, key) in keys:
+                raise ValueError("a finding is named twice")
+            keys.add((side, key))
+        order.append((f["classification"], *[k.encode("utf-16-be", "surrogatepass") for k in named]))
         sides = (f["baseline"] is not None, f["candidate"] is not None)
         allowed = {"new": {(False, True)}, "resolved": {(True, False)}, "ambiguous": {(True, False), (False, True)}}.get(f["classification"], {(True, True)})
         if sides not in allowed or f["decision"]["ambiguous"] != (f["classification"] == "ambiguous"):
             raise ValueError("a finding's sides don't fit its class")
+    if order != sorted(order):
+        raise ValueError("the findings are out of order")
     return data
 
 
 def measure(raw: bytes) -> dict:
-    """Size and SHA-256 of a report."""
-    return {"bytes": len(raw), "sha256": hashlib.sha256(raw).hexdigest()}
+    """Size and SHA-256 of report bytes."""
+    out = Measured()
+    out.write(raw)
+    return out.result()
 
 
 def write_decisions(comparison, path: str) -> None:

@@ -29,7 +29,7 @@ PATH_MATCH = ("none", "aliased", "exact")
 AGREEMENT = ("none", "compatible", "exact")
 CLASSES = ("new", "unchanged", "moved", "modified", "resolved", "ambiguous")
 STAGES = (
-    "cli", "config", "parse", "schema", "security", "canonicalisation", "fingerprint", "unsupported", "match", "compatibility", "report", "corpus",
+    "io", "parse", "schema", "unsupported", "canonicalisation", "repository", "fingerprint", "match", "github-compat", "security", "report", "internal",
 )
 
 #: The comparable fields of an edge, in the order that ranks them.

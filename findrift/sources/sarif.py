@@ -203,7 +203,7 @@ def ingest(spark: SparkSession, logs: Sequence[tuple[str, str, str]], config: Co
     stay = checkpoint(gated.where(ok & ~is_blank(F.col("rule")) & F.col("text").isNotNull()))
 
     placed = checkpoint(_locations(stay, tool, artifacts, config))
-    findings = _findings(stay, placed, config)
+    findings = checkpoint(_findings(stay, placed, config))
     notes_of = lambda df, col: df.select("case_name", F.explode(col).alias("d"))
     blank_fp = stay.select("case_name", "side", "run_index", "result_index", "pointer", F.explode(_fingerprint_entries()).alias("e")).where(
         is_blank(F.col("e.name")) | is_blank(F.col("e.value"))
@@ -214,7 +214,7 @@ def ingest(spark: SparkSession, logs: Sequence[tuple[str, str, str]], config: Co
     every = (
         stated.unionByName(notes_of(runs, "notes")).unionByName(notes_of(gated, "notes")).unionByName(notes_of(placed, "notes")).unionByName(blank_notes)
     )
-    diagnostics = every.select("case_name", F.col("d").cast(DIAGNOSTIC).alias("d")).select("case_name", "d.*").distinct()
+    diagnostics = checkpoint(every.select("case_name", F.col("d").cast(DIAGNOSTIC).alias("d")).select("case_name", "d.*").distinct())
     bad = diagnostics.where("severity = 'error'").select("case_name", F.col("input").alias("side")).distinct().withColumn("bad", F.lit(True))
     sides = rows.select("case_name", "side").distinct()
     documents = sides.join(valid_docs, ["case_name", "side"], "left").join(bad, ["case_name", "side"], "left").select(
