@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +16,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 INLINE_UNITS = 512
 
 
+def made_once(f):
+    """Keeps the columns that ``f`` makes, by its arguments: they name columns and hold for any table.
+
+    Large expressions take thousands of calls into the JVM; a session makes each once.
+    """
+    made: dict = {}
+
+    def get(*args):
+        try:
+            key = (id(SparkContext._active_spark_context), *args)
+            if key not in made:
+                made[key] = f(*args)
+            return made[key]
+        except TypeError:  # arguments that don't hash
+            return f(*args)
+
+    return get
+
+
 def ordinal(c: Column) -> Column:
     """A sort key in UTF-16 code-unit order, which differs from UTF-8's for astral characters."""
     return F.encode(c, "UTF-16BE")

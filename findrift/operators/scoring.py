@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findrift.config import Config
-from findrift.functions.exprs import any_of, ascii_lower, bounded, complete_prefix, is_bounded, keep, region_text, vhash, vhash_list
+from findrift.functions.exprs import any_of, ascii_lower, bounded, complete_prefix, is_bounded, keep, made_once, region_text, vhash, vhash_list
 from findrift.operators.occurrence import count_of
 from findrift.schema import EXACT_CANONICAL, EXACT_PRODUCER, OVERRIDE, REFUSE, STRONG_MOVED, VECTOR, WEAK
 
@@ -232,6 +232,7 @@ def collision_summary(side: Column, anchors: Column) -> Column:
     return F.concat(F.lit("shared-collisions="), F.size(anchors).cast("string"), F.lit(";first="), first["v"], F.lit(":occurrences="), first["n"].cast("string"))
 
 
+@made_once
 def edge_evidence(config: Config) -> Column:
     """All evidence of a scored edge (columns of ``score``), in report order."""
     b, c, t = F.col("b"), F.col("c"), F.col("vector.tier")
