@@ -13,6 +13,10 @@ from findrift.operators import assignment, blocking, decisions, occurrence, scor
 from findrift.schema import DIAGNOSTIC
 
 
+#: A report counts no more edges than an int holds.
+MOST_EDGES = 2147483647
+
+
 @dataclass
 class Comparison:
     """The tables of a comparison; all are keyed by case_name."""
@@ -87,10 +91,10 @@ def compare(findings: DataFrame, config: Config = Config(), assess: bool = True)
     edges = checkpoint(scored_edges(full, refused, config))
     states = checkpoint(assignment.assign(edges, config.limits))
     made = checkpoint(decisions.decide(full, edges, states, refused, config))
-    return Comparison(full, refused, edges, states, made, diagnostics(full, refused, states), metrics(findings, refused, edges, states), decisions.summary(findings, made))
+    return Comparison(full, refused, edges, states, made, diagnostics(full, refused, states, edges), metrics(findings, refused, edges, states), decisions.summary(findings, made))
 
 
-def diagnostics(findings: DataFrame, refused: DataFrame, states: DataFrame) -> DataFrame:
+def diagnostics(findings: DataFrame, refused: DataFrame, states: DataFrame, edges: DataFrame) -> DataFrame:
     """The matcher's diagnostics: case_name and the diagnostic's fields."""
     messages = F.create_map(*[x for k, v in decisions.HELP.items() for x in (F.lit(k), F.lit(v))])
     none = F.lit(None).cast("string")
@@ -108,13 +112,14 @@ def diagnostics(findings: DataFrame, refused: DataFrame, states: DataFrame) -> D
     shared = rows(occurrence.fp_collisions(findings), F.lit("MATCH0005"), F.concat_ws(" ", "side", label))
     refusal = rows(refused, F.col("code"), F.coalesce("finding_key", F.lit("all")))
     ties = rows(states.where("state = 'ambiguous' and code in ('MATCH0001', 'MATCH0002')").select("case_name", "code", "component").distinct(), F.col("code"), F.col("component"))
+    saturated = edges.groupBy("case_name").agg(F.count("*").alias("n")).where(F.col("n") > MOST_EDGES)
     over = rows(states.where("state = 'overflow'"), F.col("code"), F.coalesce("b_key", "c_key"))
-    return shared.unionByName(refusal).unionByName(ties).unionByName(over)
+    return shared.unionByName(refusal).unionByName(ties).unionByName(over).unionByName(rows(saturated, F.lit("MATCH0006"), F.col("n").cast("string")))
 
 
 def metrics(findings: DataFrame, refused: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
     """Per case: candidate edges (saturating at an int), components, ambiguous components."""
-    n_edges = edges.groupBy("case_name").agg(F.least(F.count("*"), F.lit(2147483647)).alias("candidate_edges"))
+    n_edges = edges.groupBy("case_name").agg(F.least(F.count("*"), F.lit(MOST_EDGES)).alias("candidate_edges"))
     sizes = assignment.component_sizes(edges).groupBy("case_name").agg(F.sum("n_components").alias("components"))
     lost = states.where("state = 'ambiguous'").groupBy("case_name").agg(F.count_distinct("component").alias("ambiguous_components"))
     off = refused.select("case_name", F.lit(1).alias("one"))
