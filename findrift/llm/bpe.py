@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import lean, slices, written
 
 #: (?U): white space as Unicode defines it, as the tokenizer's engine does.
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -129,7 +129,7 @@ def word_counts(words: DataFrame) -> DataFrame:
             found = pc.value_counts(b.column(0).flatten())
             yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
 
-    return words.select("_words").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return lean(words.select("_words")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, spec: str, most: int) -> pa.Table:
@@ -243,7 +243,7 @@ def encode(
             more = [ids] * with_ids + (shown.of(ids) if shown else [])
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *more], names=schema.names)
 
-    done = inner.mapInArrow(run, schema)
+    done = lean(inner).mapInArrow(run, schema)
     return done.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f.name) for f in outputs])
 
 

@@ -53,6 +53,18 @@ def spread(df: DataFrame, minimum: int = 1) -> int:
     return max(minimum, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows of texts that are sent to a Python worker at once; Spark's own default may hold gigabytes of long texts.
+BATCH_ROWS, DEFAULT_ROWS = 1_000, "10000"
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are small, unless the session sets a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name, DEFAULT_ROWS) == DEFAULT_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def hex64(c: Column) -> Column:
     """A long as 16 lowercase hex digits of its unsigned value."""
     return F.lower(F.lpad(F.hex(c), 16, "0"))

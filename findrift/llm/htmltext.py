@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import lean, slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -307,4 +307,4 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep
         [*[T.StructField(c, df.schema[c].dataType) for c in (id_col, *keep)], T.StructField("text", T.StringType()),
          T.StructField("n_chars", T.LongType())]
     )
-    return df.select(id_col, *keep, html_col).mapInArrow(run, schema)
+    return lean(df.select(id_col, *keep, html_col)).mapInArrow(run, schema)

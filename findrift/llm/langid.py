@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import lean, slices
 
 DIMS = 4096
 #: Labelled rows that are fitted, over all languages; each gives its whole text and a short piece of it.
@@ -173,7 +173,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             if out:
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("id", pa.string()), ("lang", pa.string()), ("piece", pa.int32()), ("at", pa.binary()), ("n", pa.binary())]))
 
-    rows = texts.mapInArrow(run, "id string, lang string, piece int, at binary, n binary").dropDuplicates(["id", "lang", "piece"]).collect()
+    rows = lean(texts).mapInArrow(run, "id string, lang string, piece int, at binary, n binary").dropDuplicates(["id", "lang", "piece"]).collect()
     rows.sort(key=lambda r: (r["lang"], r["id"], r["piece"]))
     if not rows:
         return None
@@ -227,4 +227,4 @@ def identify(
         [*[T.StructField(c, df.schema[c].dataType) for c in names], T.StructField(outputs[0], T.StringType()),
          T.StructField(outputs[1], T.DoubleType()), T.StructField(outputs[2], T.BooleanType())]
     )
-    return df.select(*names, *more).mapInArrow(run, schema)
+    return lean(df.select(*names, *more)).mapInArrow(run, schema)

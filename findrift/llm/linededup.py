@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import lean, slices, written
 from .words import Words, mix, run_hashes, sliding, text_slices
 
 MIN_WORDS = 50
@@ -80,7 +80,7 @@ def marks(named: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), *more], names=[*PLACE, "at", "prev", "mark"])
 
     more = [T.StructField("at", T.IntegerType()), T.StructField("prev", T.IntegerType()), T.StructField("mark", T.LongType())]
-    return named.select(*PLACE, "_text").mapInArrow(run, T.StructType([named.schema["_id"], named.schema["_hash"], *more]))
+    return lean(named.select(*PLACE, "_text")).mapInArrow(run, T.StructType([named.schema["_id"], named.schema["_hash"], *more]))
 
 
 def _same(*pairs: tuple[str, str]) -> Column:

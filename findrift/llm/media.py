@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import lean, slices
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH, CHANNELS = 64, 3
@@ -177,7 +177,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             )
 
     more = [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), T.StructField("feature", T.BinaryType())]
-    return df.select(id_col, text_col).mapInArrow(run, T.StructType([df.schema[id_col], *more]))
+    return lean(df.select(id_col, text_col)).mapInArrow(run, T.StructType([df.schema[id_col], *more]))
 
 
 def digest(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:

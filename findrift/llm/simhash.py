@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hex64, slices, spread, written
+from .common import hex64, lean, slices, spread, written
 from .graph import components
 
 BITS, SEGMENTS = 64, 2
@@ -60,7 +60,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([part.column(0), signed], names=[id_col, "fingerprint"])
 
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("fingerprint", T.LongType())])
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return lean(df.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 def radii(max_distance: int, segments: int) -> list[int]:
