@@ -20,8 +20,8 @@ CLASHES = "lang string, source string, n_chars long, score string, lang_pred str
 
 
 def documents(spark):
-    rows = [(i, t, None if i == 2 else "en" if i % 2 else "de", None if i == 1 else f"s{i % 3}", 7, *["old"] * 13) for i, t in enumerate(TEXTS)]
-    rows += [rows[3], (None, PLAIN, "en", "s1", 3, *["old"] * 13), (None, None, None, None, None, *[None] * 13)]
+    rows = [(i, t, None if i == 2 else "en" if i % 2 else "de", None if i == 1 else f"s{i % 3}", 7, *["old"] * 14) for i, t in enumerate(TEXTS)]
+    rows += [rows[3], (None, PLAIN, "en", "s1", 3, *["old"] * 14), (None, None, None, None, None, *[None] * 14)]
     return spark.createDataFrame(rows, f"doc_id long, text string, {CLASHES}")
 
 
