@@ -40,7 +40,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each class of near-duplicates: 0.8 or more of their five-word shingles in common."""
+    """Keeps the least doc_id of each class of near-duplicates: 0.8 or more of their five-word shingles in common.
+
+    A SimHash multi-index proposes the pairs that are verified; an exact join finds those it cannot reach.
+    """
     return jaccard.keep_one(docs, words=5, similarity=0.8).select(*docs.columns)
 
 

@@ -1,12 +1,17 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: an exact prefix join.
+"""Near-duplicates by the Jaccard similarity of word shingles: a SimHash multi-index, verified and completed.
+
+Every set of shingles has a 64-bit SimHash.  The multi-index of ``simhash.candidates`` proposes pairs of
+them within a wide radius, and their similarity is verified on the whole texts.  Sets of similarity 0.8
+differ in about 10 bits and now and then in more than any segment table can reach, so what the index
+misses is found by an exact prefix join, between sets that the index has not brought into one class.
 
 Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, under any
 order common to all sets, so these prefixes are a complete index: no pair is lost, whatever its
 SimHash distance.  The order takes shingles by hash, but the frequent ones of a sample of texts last,
 so that a common sentence seldom stands in a prefix; the sample steers cost only, never results.
 
-Sets that meet are compared by bitmaps first: every shingle flips one bit, so two bitmaps differ in at
-most as many bits as the sets have shingles not in common, and a pair whose bitmaps differ in more than
+Candidates of either kind are compared by bitmaps first: every shingle flips one bit, so two bitmaps differ
+in at most as many bits as the sets have shingles not in common, and a pair whose bitmaps differ in more than
 the similarity allows is none.  What is left is verified on the whole texts.  Equal sets are one row
 before all that, so copies cost nothing; of the sets under a crowded shingle each is compared with one
 of them first, and only those that are in different classes after that with each other.
@@ -23,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import lean, written
 from .graph import components
 from .words import Words, mix, run_hashes, text_slices
@@ -100,7 +106,7 @@ def _frequent(rows: DataFrame, words: int) -> np.ndarray:
 
 
 def sets(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """_id, _hash, node (hash of the shingle set), n (its size), bits (its bitmap), prefix, for every whole text."""
+    """_id, _hash, node (hash of the shingle set), n (its size), fp, unsure (its SimHash), bits (its bitmap), prefix, for every whole text."""
     frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,37 +125,36 @@ def sets(rows: DataFrame, words: int, similarity: float) -> DataFrame:
             prefix = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(prefix_length(size, similarity))]), pa.int32()), pa.array(h[order][keep].view(np.int64))
             )
-            arrays = [pa.array(node.view(np.int64)), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), prefix]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["_id", "_hash", "node", "n", "bits", "prefix"])
+            fp, unsure = (pa.array(v.view(np.int64)) for v in simhash.set_fingerprints(h, at))
+            arrays = [pa.array(node.view(np.int64)), pa.array(size, pa.int32()), fp, unsure, pa.array(bits, pa.binary()), prefix]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["_id", "_hash", "node", "n", "fp", "unsure", "bits", "prefix"])
 
     schema = T.StructType(
         [rows.schema["_id"], rows.schema["_hash"], T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()),
-         T.StructField("bits", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+         T.StructField("fp", T.LongType()), T.StructField("unsure", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
     )
     return lean(rows.select("_id", "_hash", "_text")).mapInArrow(run, schema)
 
 
 def _shared(prints: DataFrame) -> DataFrame:
-    """shingle, node, n, at: the prefix shingles that stand in two sets or more, and where."""
-    held = prints.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
-    many = written(held.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select(F.col("shingle").alias("s")))
-    return written(held.join(many, F.col("shingle") == F.col("s")).select("shingle", "node", "n", "at").distinct())
+    """shingle, node, n, at, root: the prefix shingles that stand in sets of two roots or more, and where."""
+    held = prints.select("node", "n", "root", F.posexplode("prefix").alias("at", "shingle"))
+    many = written(held.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select(F.col("shingle").alias("s")))
+    return written(held.join(many, F.col("shingle") == F.col("s")).select("shingle", "node", "n", "at", "root").distinct())
 
 
-def _pairs(shared: DataFrame, similarity: float, apart: bool = False) -> DataFrame:
-    """Pairs (u, v) of sets that share a prefix shingle, within the bounds of length and position.
+def _pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of sets of different roots that share a prefix shingle, within the bounds of length and position.
 
     The first shingle that two sets share bounds what they have in common by what follows it in either, so a
-    similar pair passes there.  ``apart`` takes only pairs of different roots.
+    similar pair passes there.
     """
     names = [c for c in shared.columns if c != "shingle"]
     a, b = (shared.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in "uv")
     overlap = F.lit(similarity / (1 + similarity)) * (F.col("u_n") + F.col("v_n"))
     left = F.least(F.col("u_n") - F.col("u_at"), F.col("v_n") - F.col("v_at"))
     near = (F.least("u_n", "v_n") >= F.lit(similarity) * F.greatest("u_n", "v_n") - 1e-6) & (left >= overlap - 1e-6)
-    met = a.join(b, "shingle").where((F.col("u_node") < F.col("v_node")) & near)
-    if apart:
-        met = met.where("u_root <> v_root")
+    met = a.join(b, "shingle").where((F.col("u_node") < F.col("v_node")) & (F.col("u_root") != F.col("v_root")) & near)
     return met.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct()
 
 
@@ -186,24 +191,41 @@ def _verified(pairs: DataFrame, rows: DataFrame, prints: DataFrame, words: int,
     return full.mapInArrow(run, "u long, v long")
 
 
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets by SimHash: each with the least of its fingerprint, and these where fingerprints meet in the multi-index."""
+    least = written(nodes.groupBy("fp").agg(F.min(F.struct("node", "unsure")).alias("least")).select("fp", F.col("least.node").alias("head"), "least.unsure"))
+    met, heads = simhash.candidates(least), least.select("fp", "head")
+    between = met.join(heads.toDF("u", "u_head"), "u").join(heads.toDF("v", "v_head"), "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
+    return nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).unionByName(between)
+
+
+def _placed(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``sets`` with the root of each node's class."""
+    return sets.join(written(components(links)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def links(rows: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
     """Verified links (u, v) between distinct shingle sets of ``prints``, enough to connect all similar ones."""
-    shared = _shared(prints.where("n > 0"))
-    nodes = written(prints.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits")))
-    sizes = written(shared.groupBy("shingle").agg(F.count("*").alias("many"), F.min("node").alias("least")))
+    prints = prints.where("n > 0")
+    nodes = written(prints.groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("fp").alias("fp"), F.max("unsure").alias("unsure")))
+    sized = nodes.select("node", "n", "bits")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return written(_verified(written(_similar_bits(written(pairs), sized, similarity)), rows, prints, words, similarity))
+
+    near = verified(_candidates(nodes))
+    shared = _shared(_placed(prints, near))
+    sizes = written(shared.groupBy("shingle").agg(F.count("*").alias("many"), F.min(F.struct("node", "root")).alias("least")))
     few = shared.join(sizes.where(F.col("many") <= CROWD).select("shingle"), "shingle", "left_semi")
     crowded = sizes.where(F.col("many") > CROWD)
-    stars = shared.join(crowded, "shingle").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
-    first = written(_similar_bits(written(_pairs(few, similarity).unionByName(stars).distinct()), nodes, similarity))
-    found = written(_verified(first, rows, prints, words, similarity))
+    stars = shared.join(crowded, "shingle").where("root <> least.root").select(F.col("least.node").alias("u"), F.col("node").alias("v"))
+    found = near.unionByName(verified(_pairs(few, similarity).unionByName(stars).distinct()))
     if crowded.isEmpty():
         return found
-    roots = components(found)
-    placed = shared.join(crowded.select("shingle"), "shingle", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = _placed(shared.drop("root").join(crowded.select("shingle"), "shingle", "left_semi"), found)
     split = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     apart = written(placed.join(split, "shingle", "left_semi").select("shingle", "node", "n", "at", "root"))
-    rest = written(_similar_bits(_pairs(apart, similarity, apart=True), nodes, similarity))
-    return found.unionByName(_verified(rest, rows, prints, words, similarity))
+    return found.unionByName(verified(_pairs(apart, similarity)))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

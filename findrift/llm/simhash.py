@@ -11,6 +11,10 @@ A value under which many fingerprints lie (data of one kind may share a whole se
 pairs of them.  Fingerprints that meet such a value are indexed by a nested split instead: the key is
 the whole fingerprint with up to half the distance's bits flipped, under which only a few can lie.
 Equal fingerprints are one row before all that, so copies cost nothing.
+
+``candidates`` is an index of the same kind for a wide radius, where balls of all bits would be too large:
+its balls are of a segment's least certain bits, on both sides of the table, and the caller verifies the
+true similarity of the pairs it proposes.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ from .graph import components
 BITS, SEGMENTS = 64, 2
 #: Fingerprints under one segment value above which its members go through the nested split.
 BUCKET = 256
+#: Of ``candidates``: segments, and bits of each that its balls are of.
+TABLES, UNSURE = 3, 4
+#: Candidates differ in so many bits at most.  Sets with a Jaccard similarity of 0.8 have cosine 8/9: 9.7 bits differ on average, deviation 2.9.
+WIDE = 16
 
 
 def fingerprint(text: str, words_per_shingle: int = 3, step: int = 65536) -> int:
@@ -63,6 +71,31 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return lean(df.select(id_col, text_col)).mapInArrow(run, schema)
 
 
+def _segments(count: int) -> list[tuple[int, int]]:
+    return list(itertools.pairwise(BITS * s // count for s in range(count + 1)))
+
+
+def set_fingerprints(hashes: np.ndarray, bounds: np.ndarray, unsure: int = UNSURE) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHash of each set ``hashes[bounds[i]:bounds[i + 1]]``, and a mask of the least certain bits of each segment.
+
+    A bit is 1 if set in over half of the hashes, and the less certain the nearer to half; an empty set has 0.
+    """
+    size = np.diff(bounds).astype(np.int64)
+    some = np.flatnonzero(size)
+    ones = np.zeros((len(size), BITS), np.int64)
+    low, lanes = np.uint64(0xFFFFFFFF), np.uint64(1 << 32 | 1)
+    for bit in range(BITS // 2 if len(some) else 0):
+        both = np.add.reduceat(hashes >> np.uint64(bit) & lanes, bounds[:-1][some])  # the bit's count, and above it that of the bit 32 places up
+        ones[some, bit], ones[some, bit + 32] = both & low, both >> np.uint64(32)
+    lead = 2 * ones - size[:, None]
+    place = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
+    mask = np.zeros(len(size), np.uint64)
+    for lo, hi in _segments(TABLES):
+        least = lo + np.argsort(np.abs(lead[:, lo:hi]), axis=1, kind="stable")[:, :unsure]
+        mask |= np.bitwise_or.reduce(place[least], axis=1)
+    return ((lead > 0) * place).sum(axis=1, dtype=np.uint64), mask
+
+
 def radii(max_distance: int, segments: int) -> list[int]:
     """The radius to be searched in each segment's table; -1 where none has to be."""
     a, b = divmod(max_distance, segments)
@@ -124,6 +157,68 @@ def links(distinct: DataFrame, max_distance: int = 2, segments: int = SEGMENTS,
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_distance)
 
 
+def _met(keyed: DataFrame, widest: int, bucket: int) -> DataFrame:
+    """Pairs (u, v) of fingerprints under one key that differ in up to ``widest`` bits; each meets up to ``bucket`` before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp = np.empty(0, np.int64), np.empty(0, np.int64)  # the last rows of the key that the next batch may go on with
+        for b in batches:
+            before = len(key)
+            key, fp = (np.concatenate([old, new.to_numpy()]) for old, new in zip((key, fp), b.columns, strict=True))
+            us, vs = [], []
+            for k in range(1, min(bucket, len(key) - 1) + 1):
+                at = np.flatnonzero(key[k:] == key[:-k])
+                if not len(at):
+                    break
+                at = at[at + k >= before]
+                far = np.bitwise_count((fp[at] ^ fp[at + k]).view(np.uint64))
+                at = at[(far > 0) & (far <= widest)]
+                us.append(fp[at])
+                vs.append(fp[at + k])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+            if len(key):
+                last = max(int(np.searchsorted(key, key[-1])), len(key) - bucket)
+                key, fp = key[last:], fp[last:]
+
+    return lean(keyed.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")).mapInArrow(run, "u long, v long")
+
+
+def table_keys(fp: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """A row per fingerprint: for each segment its values with every setting of the masked bits, in their places."""
+    keys = []
+    for lo, hi in _segments(TABLES):
+        segment = np.uint64((1 << hi) - (1 << lo))
+        left = mask & segment
+        own = [fp & ~mask & segment]
+        while left.any():
+            bit = left & (~left + np.uint64(1))
+            own += [k | bit for k in own]
+            left ^= bit
+        keys += own
+    return np.stack(keys, axis=1)
+
+
+def candidates(prints: DataFrame, widest: int = WIDE, bucket: int = BUCKET) -> DataFrame:
+    """Candidate pairs (u, v) of distinct fingerprints (columns fp, unsure) that differ in ``widest`` bits or fewer.
+
+    Each segment's table holds every fingerprint under the Hamming ball of the segment's unsure bits, so
+    two fingerprints meet wherever all bits in which one of their segments differs are unsure in either;
+    for those are the bits that an edit turns.  Under a crowded value each fingerprint meets the
+    ``bucket`` before it only.  What the tables miss, the caller has to find in another way.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, mask = (c.to_numpy().view(np.uint64) for c in b.columns)
+            keys = table_keys(fp, mask)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(fp, keys.shape[1]).view(np.int64))], names=["key", "fp"])
+
+    keyed = lean(prints.select("fp", "unsure").repartition(spread(prints))).mapInArrow(run, "key long, fp long")
+    # Segments keep their places, so their values are apart but for zero, where chance meetings do no harm.
+    return _met(keyed, widest, bucket).distinct()
+
+
 def _classes(df: DataFrame, id_col: str, text_col: str, max_distance: int, words_per_shingle: int) -> tuple[DataFrame, DataFrame]:
     """(_id, _hash, fingerprint of each row; fp, head: the least (_id, _hash) of the fingerprint's class, null ids last)."""
     named = df.select(F.struct(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")).alias("_key"), F.col(text_col).alias("_text"))

@@ -120,3 +120,50 @@ def test_empty_and_repeated_rows(spark):
     assert sorted(r["doc_id"] or 0 for r in simhash.keep_one(df).collect()) == [0, 4]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     assert simhash.keep_one(df).columns == df.columns
+
+
+def test_set_fingerprints_and_unsure_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sets = [rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (1, 0, 2, 7, 3000, 0)]
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    fp, mask = simhash.set_fingerprints(np.concatenate(sets), bounds)
+    for s, f, m in zip(sets, fp.tolist(), mask.tolist(), strict=True):
+        ones = [sum(h >> b & 1 for h in s.tolist()) for b in range(64)]
+        assert f == sum(1 << b for b in range(64) if 2 * ones[b] > len(s))
+        for lo, hi in ((0, 21), (21, 42), (42, 64)):
+            lead = {b: abs(2 * ones[b] - len(s)) for b in range(lo, hi)}
+            unsure = [b for b in lead if m >> b & 1]
+            assert len(unsure) == simhash.UNSURE and max(lead[b] for b in unsure) <= min(v for b, v in lead.items() if b not in unsure)
+    assert [len(v) for v in simhash.set_fingerprints(np.empty(0, np.uint64), np.zeros(1, np.int64))] == [0, 0]
+
+
+@pytest.mark.parametrize("bucket", [10_000, 3])
+def test_candidates_meet_where_unsure_bits_differ(spark, bucket):
+    """Against all pairs, with values of more members than an Arrow batch has rows."""
+    rng = random.Random(8)
+    cuts = ((0, 21), (21, 42), (42, 64))
+    prints = {}
+    for k in range(100 + 1050):
+        # The last 1,050 share their lower two segments, so these values are crowded.
+        base = rng.getrandbits(64) if k < 100 else rng.getrandbits(22) << 42 | 12345
+        for _ in range(4 if k < 100 else 1):
+            mask = sum(1 << b for lo, hi in cuts for b in rng.sample(range(lo, hi), 4))
+            v = base
+            for _ in range(rng.randrange(8) if k < 100 else 0):
+                v ^= 1 << rng.randrange(64)
+            prints[v] = mask
+    df = spark.createDataFrame([(simhash._signed(v), simhash._signed(m)) for v, m in prints.items()], "fp long, unsure long")
+    got = [tuple(sorted((r["u"] % 2**64, r["v"] % 2**64))) for r in simhash.candidates(df, bucket=bucket).collect()]
+    flat = sorted(prints)
+    want = set()
+    for i, a in enumerate(flat):
+        for b in flat[i + 1 :]:
+            d = a ^ b
+            if d.bit_count() <= simhash.WIDE:
+                left = d & ~(prints[a] | prints[b])
+                if any(not left >> lo & ((1 << (hi - lo)) - 1) for lo, hi in cuts):
+                    want.add((a, b))
+    assert len(got) == len(set(got)) and set(got) <= want
+    assert len(want) > 10_000 and (set(got) == want if bucket > 1050 else 0 < len(got) < 3 * 49 * len(flat))
